@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrykit.session import ship
+
 #: Fixed value: the pattern of a word, in the syntax shared by Java, Python and RE2.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that a Python worker turns into numpy arrays at a time.
@@ -87,6 +89,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
 
 
 def mapped(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow, with this package shipped to the workers."""
+    ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
