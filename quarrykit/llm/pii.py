@@ -5,7 +5,8 @@ letter 26, ...).  The list is halved; in every round one half gets, symbol by sy
 the other half added modulo the radix.  So each format's values are permuted among
 themselves: a pseudonym has the format of its value, passes the same validation, equal
 values have equal pseudonyms in all documents however they are punctuated, different ones
-different, and the key's holder can undo it (`inverse`).
+different, and the key's holder can undo it (`inverse`; of a date with slashes that is one as D/M/Y
+only, the order is not known afterwards and it may come back as another date).
 
 kind    accepted                                              permuted
 card    13 to 19 digits, single spaces or dashes, Luhn         all digits; the last is computed
@@ -141,7 +142,7 @@ def _iban(m: Column, key: str, inverse: bool) -> Column:
 
 def _ssn(m: Column, key: str, inverse: bool) -> Column:
     p = F.split(m, "-")
-    a, b, c = (_number(p[i]) for i in range(3))
+    a, b, c = (_number(F.get(p, i)) for i in range(3))
     ok = a.between(1, 899) & (a != 666) & (b > 0) & (c > 0)
     v = feistel(F.array(F.when(a > 666, a - 2).otherwise(a - 1), b - 1, c - 1), F.array(F.lit(898), F.lit(99), F.lit(9999)), key, "ssn", inverse)
     area = F.when(v[0] >= 665, v[0] + 2).otherwise(v[0] + 1)
@@ -153,10 +154,10 @@ def _date(m: Column, key: str, inverse: bool) -> Column:
     iso = m.contains("-")
     sep = F.substring(m, 3, 1)
     p = F.split(m, r"[-./]")
-    as_date = lambda y, mo, d: F.try_to_date(F.concat_ws("-", y, mo, d), F.lit("yyyy-MM-dd"))
-    dmy, mdy = as_date(p[2], p[1], p[0]), as_date(p[2], p[0], p[1])
+    as_date = lambda y, mo, d: F.concat_ws("-", y, mo, d).try_cast("date")
+    dmy, mdy = as_date(F.get(p, 2), F.get(p, 1), F.get(p, 0)), as_date(F.get(p, 2), F.get(p, 0), F.get(p, 1))
     day_first = F.when(sep == ".", F.lit(True)).otherwise(mdy.isNull())
-    day = F.when(iso, as_date(p[0], p[1], p[2])).when(day_first, dmy).otherwise(mdy)
+    day = F.when(iso, as_date(F.get(p, 0), F.get(p, 1), F.get(p, 2))).when(day_first, dmy).otherwise(mdy)
     # 49 spans of 1461 days, which factors as 147 x 487.
     n = F.datediff(day, F.lit("1904-01-01").cast("date"))
     v = feistel(F.array(F.floor(n / 487).cast("int"), F.pmod(n, F.lit(487))), F.array(F.lit(147), F.lit(487)), key, "date", inverse)
@@ -218,5 +219,6 @@ def pseudonymised(docs: DataFrame, key: str = KEY, kinds: tuple[str, ...] = KIND
 def report(docs: DataFrame, key: str = KEY, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """doc_id, n_<kind> of each kind, n_pii, pseudonyms (as found, separated by |), text of every row of docs (doc_id, text)."""
     out = pseudonymised(docs.select("doc_id", "text"), key, kinds)
-    counts = [F.size(F.filter("pii", lambda v, k=k: v["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    count = lambda k: F.size(F.filter("pii", lambda v: v["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [count(k) for k in KINDS]
     return out.select("doc_id", *counts, F.size("pii").cast("long").alias("n_pii"), F.array_join(F.transform("pii", lambda v: v["value"]), "|").alias("pseudonyms"), "text")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import chat, minhash, mixing, packing, quality, sketch, toxicity
+from quarrykit.llm import chat, linedup, minhash, mixing, packing, pii, quality, sketch, suffix, toxicity
 from quarrykit.llm.common import table
 
 
@@ -26,6 +26,14 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(rows.unionByName(extra))
 
 
+def op4_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.judged(table(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
@@ -38,13 +46,17 @@ def op8_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprinted(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = minhash.clustered(table(spark, sf_dir, "documents"), k=2, threshold=0.8)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_chat, op6_packing, op7_mixing, op8_sketch, op10_minhash)}
+    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_chat, op4_linedup, op5_pii, op6_packing, op7_mixing, op8_sketch, op9_suffix, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
