@@ -11,10 +11,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch: rows here are whole texts, and a worker holds a few batches.
+BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in every Python worker of the session, once per application."""
+    """Makes this package importable in every Python worker of the session, once per application, and keeps Arrow batches small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
