@@ -32,19 +32,33 @@ ROUNDS = 8
 KEY = "quarrykit-test-key"
 KINDS = ("card", "iban", "ssn", "date", "ip", "phone", "email")
 
-#: The patterns of the kinds, in the order in which they are tried.
-_B, _E = r"(?<![0-9A-Za-z_.+@-])", r"(?![0-9A-Za-z_])"
+#: The patterns of the kinds, in the order in which they are tried. All but email begin with BEFORE, so most characters are passed by one look.
+BEFORE = r"(?<![0-9A-Za-z_.+@-])(?=[0-9A-Z+(])"
+_E = r"(?![0-9A-Za-z_])"
 PATTERNS = {
-    "email": r"(?<![0-9A-Za-z._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "iban": _B + r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + _E,
-    "date": _B + r"(?:[12][0-9]{3}-[01][0-9]-[0-3][0-9]|[0-3][0-9]([./])[0-3][0-9]\1[12][0-9]{3})" + _E,
-    "ip": _B + r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}" + r"(?![0-9A-Za-z_]|\.[0-9])",
-    "ssn": _B + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + r"(?![0-9A-Za-z_-])",
-    "card": _B + r"[0-9](?:[ -]?[0-9]){12,18}" + _E,
-    "phone": r"(?<![0-9A-Za-z_])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}" + _E,
+    "email": r"(?<![0-9A-Za-z._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + _E,
+    "date": r"(?:[12][0-9]{3}-[01][0-9]-[0-3][0-9]|[0-3][0-9](?:/[0-3][0-9]/|\.[0-3][0-9]\.)[12][0-9]{3})" + _E,
+    "ip": r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}" + r"(?![0-9A-Za-z_]|\.[0-9])",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + r"(?![0-9A-Za-z_-])",
+    "card": r"[0-9](?:[ -]?[0-9]){12,18}" + _E,
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}" + _E,
 }
 
 
+def combined(kinds: tuple[str, ...]) -> str:
+    rest = [PATTERNS[k] for k in PATTERNS if k in kinds and k != "email"]
+    out = [PATTERNS["email"]] if "email" in kinds else []
+    if rest:
+        out.append(f"{BEFORE}(?:{'|'.join(f'(?:{p})' for p in rest)})")
+    return "|".join(out)
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once and named, so expressions don't grow with each mention."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def feistel(symbols: Column, radices: Column, key: str, kind: str, inverse: bool = False) -> Column:
     """The symbols (0 up to their radix) after the keyed rounds; the same radices give a permutation."""
     half = F.floor(F.size(symbols) / 2).cast("int")
@@ -91,17 +105,25 @@ def _chars(s: Column) -> Column:
 
 def _permuted_chars(s: Column, key: str, kind: str, inverse: bool) -> Column:
     """Letters and digits permuted within their classes, all else in place."""
-    moving = F.filter(_chars(s), lambda c: _radix(c) > 0)
-    symbols = F.transform(moving, lambda c: (_code(c) - _base(c)).cast("int"))
-    moved = feistel(symbols, F.transform(moving, _radix), key, kind, inverse)
-    return F.array_join(F.zip_with(moving, moved, lambda c, v: F.char((_base(c) + v).cast("int"))), "")
+
+    def moved(moving: Column) -> Column:
+        symbols = F.transform(moving, lambda c: (_code(c) - _base(c)).cast("int"))
+        return F.array_join(F.zip_with(moving, feistel(symbols, F.transform(moving, _radix), key, kind, inverse), lambda c, v: F.char((_base(c) + v).cast("int"))), "")
+
+    return let(F.filter(_chars(s), lambda c: _radix(c) > 0), moved)
 
 
 def _laid(template: Column, symbols: Column, skip: Column | int = 0) -> Column:
     """The characters of `symbols` in place of the letters and digits of the template, after the first `skip` ones."""
-    chars = _chars(template)
-    before = lambda i: F.size(F.filter(F.slice(chars, 1, i), lambda c: _radix(c) > 0)) - skip
-    return F.array_join(F.transform(chars, lambda c, i: F.when((_radix(c) == 0) | (before(i) < 0), c).otherwise(F.substr(symbols, before(i) + 1, F.lit(1)))), "")
+
+
+    def laid(v: Column) -> Column:
+        chars = v["chars"]
+        before = lambda i: F.size(F.filter(F.slice(chars, 1, i), lambda c: _radix(c) > 0)) - v["skip"]
+        return F.array_join(F.transform(chars, lambda c, i: F.when((_radix(c) == 0) | (before(i) < 0), c).otherwise(F.substr(v["symbols"], before(i) + 1, F.lit(1)))), "")
+
+    skip = skip if isinstance(skip, Column) else F.lit(skip)
+    return let(F.struct(_chars(template).alias("chars"), symbols.alias("symbols"), skip.alias("skip")), laid)
 
 
 def _digits(s: Column) -> Column:
@@ -124,9 +146,9 @@ def luhn(digits: Column) -> Column:
 
 def _card(m: Column, key: str, inverse: bool) -> Column:
     d = _digits(m)
-    body = _permuted_chars(F.substr(d, F.lit(1), F.length(d) - 1), key, "card", inverse)
-    check = F.pmod(10 - F.pmod(_luhn_sum(body, 1), F.lit(10)), F.lit(10)).cast("string")
-    return F.when(luhn(d) & d.rlike("[1-9]"), _laid(m, F.concat(body, check)))
+    check = lambda body: F.pmod(10 - F.pmod(_luhn_sum(body, 1), F.lit(10)), F.lit(10)).cast("string")
+    whole = let(_permuted_chars(F.substr(d, F.lit(1), F.length(d) - 1), key, "card", inverse), lambda body: F.concat(body, check(body)))
+    return F.when(luhn(d) & d.rlike("[1-9]"), _laid(m, whole))
 
 
 def _mod97(s: Column) -> Column:
@@ -135,19 +157,19 @@ def _mod97(s: Column) -> Column:
 
 def _iban(m: Column, key: str, inverse: bool) -> Column:
     country, rest = F.substring(m, 1, 2), F.substr(m, F.lit(5))
-    body = _permuted_chars(rest, key, "iban", inverse)
-    check = F.lpad((98 - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(_mod97(F.concat(rest, F.substring(m, 1, 4))) == 1, F.concat(country, check, body))
+    check = lambda body: F.lpad((98 - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")
+    made = let(_permuted_chars(rest, key, "iban", inverse), lambda body: F.concat(country, check(body), body))
+    return F.when(_mod97(F.concat(rest, F.substring(m, 1, 4))) == 1, made)
 
 
 def _ssn(m: Column, key: str, inverse: bool) -> Column:
     p = F.split(m, "-")
     a, b, c = (_number(F.get(p, i)) for i in range(3))
     ok = a.between(1, 899) & (a != 666) & (b > 0) & (c > 0)
-    v = feistel(F.array(F.when(a > 666, a - 2).otherwise(a - 1), b - 1, c - 1), F.array(F.lit(898), F.lit(99), F.lit(9999)), key, "ssn", inverse)
-    area = F.when(v[0] >= 665, v[0] + 2).otherwise(v[0] + 1)
+    moved = feistel(F.array(F.when(a > 666, a - 2).otherwise(a - 1), b - 1, c - 1), F.array(F.lit(898), F.lit(99), F.lit(9999)), key, "ssn", inverse)
     pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
-    return F.when(ok, F.concat_ws("-", pad(area, 3), pad(v[1] + 1, 2), pad(v[2] + 1, 4)))
+    area = lambda v: F.when(v[0] >= 665, v[0] + 2).otherwise(v[0] + 1)
+    return F.when(ok, let(moved, lambda v: F.concat_ws("-", pad(area(v), 3), pad(v[1] + 1, 2), pad(v[2] + 1, 4))))
 
 
 def _date(m: Column, key: str, inverse: bool) -> Column:
@@ -158,12 +180,20 @@ def _date(m: Column, key: str, inverse: bool) -> Column:
     dmy, mdy = as_date(F.get(p, 2), F.get(p, 1), F.get(p, 0)), as_date(F.get(p, 2), F.get(p, 0), F.get(p, 1))
     day_first = F.when(sep == ".", F.lit(True)).otherwise(mdy.isNull())
     day = F.when(iso, as_date(F.get(p, 0), F.get(p, 1), F.get(p, 2))).when(day_first, dmy).otherwise(mdy)
-    # 49 spans of 1461 days, which factors as 147 x 487.
-    n = F.datediff(day, F.lit("1904-01-01").cast("date"))
-    v = feistel(F.array(F.floor(n / 487).cast("int"), F.pmod(n, F.lit(487))), F.array(F.lit(147), F.lit(487)), key, "date", inverse)
-    new = F.date_add(F.lit("1904-01-01").cast("date"), v[0] * 487 + v[1])
-    shown = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(day_first, F.concat_ws("", F.date_format(new, "dd"), sep, F.date_format(new, "MM"), sep, F.date_format(new, "yyyy"))).otherwise(F.concat_ws("", F.date_format(new, "MM"), sep, F.date_format(new, "dd"), sep, F.date_format(new, "yyyy")))
-    return F.when(day.isNotNull() & n.between(0, 147 * 487 - 1), shown)
+    first = F.lit("1904-01-01").cast("date")
+
+    def shown(x: Column) -> Column:
+        part = lambda p: F.date_format(x["new"], p)
+        joined = lambda *p: F.concat(part(p[0]), sep, part(p[1]), sep, part(p[2]))
+        return F.when(iso, part("yyyy-MM-dd")).when(x["day_first"], joined("dd", "MM", "yyyy")).otherwise(joined("MM", "dd", "yyyy"))
+
+    def made(x: Column) -> Column:
+        # 49 spans of 1461 days, which factors as 147 x 487.
+        symbols = F.array(F.floor(x["n"] / 487).cast("int"), F.pmod(x["n"], F.lit(487)))
+        new = let(feistel(symbols, F.array(F.lit(147), F.lit(487)), key, "date", inverse), lambda v: F.date_add(first, v[0] * 487 + v[1]))
+        return F.when(x["n"].between(0, 147 * 487 - 1), let(F.struct(new.alias("new"), x["day_first"].alias("day_first")), shown))
+
+    return let(F.struct(F.datediff(day, first).alias("n"), day_first.alias("day_first")), made)
 
 
 def _ip(m: Column, key: str, inverse: bool) -> Column:
@@ -196,18 +226,18 @@ _MAKERS = {"card": _card, "iban": _iban, "ssn": _ssn, "date": _date, "ip": _ip,
 
 def pseudonym(match: Column, key: str = KEY, kinds: tuple[str, ...] = KINDS, inverse: bool = False) -> Column:
     """(kind, value) of a string found by the kinds' patterns; kind is null if it fails validation."""
-    bare = {k: "^" + PATTERNS[k].removeprefix(_B) .removesuffix(_E) + "$" for k in kinds}
-    out = F.struct(F.lit(None).cast("string").alias("kind"), match.alias("value"))
+    nothing = F.struct(F.lit(None).cast("string").alias("kind"), match.alias("value"))
+    out = nothing
     for k in reversed([k for k in PATTERNS if k in kinds]):
-        made = _MAKERS[k](match, key, inverse)
-        shape = match.rlike(bare[k])
-        out = F.when(shape & made.isNotNull(), F.struct(F.lit(k).alias("kind"), made.alias("value"))).otherwise(out)
+        # A string that has the form of several kinds is the first whose validation it passes.
+        own = F.when(match.rlike(f"^(?:{PATTERNS[k]})$"), F.struct(F.lit(k).alias("kind"), _MAKERS[k](match, key, inverse).alias("value")))
+        out = F.coalesce(let(own, lambda v: F.when(v["value"].isNotNull(), v)), out)
     return out
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY, kinds: tuple[str, ...] = KINDS, inverse: bool = False) -> DataFrame:
     """docs with text rewritten, and a column `pii`: an array of (kind, value), value being the pseudonym."""
-    pattern = "|".join(f"(?:{PATTERNS[k]})".replace(r"\1", r"\k<sep>").replace("([./])", "(?<sep>[./])") for k in PATTERNS if k in kinds)
+    pattern = combined(kinds)
     found = docs.withColumn("__pii_match", F.when(F.col("text").rlike("[0-9]|@"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
     made = found.withColumn("pii", F.transform("__pii_match", lambda m: pseudonym(m, key, kinds, inverse)))
     gaps = F.split(F.col("text"), pattern, -1)
