@@ -7,6 +7,7 @@ value for the same bytes.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -22,7 +23,7 @@ from quarrykit.session import ship
 #: Fixed value: the pattern of a word, in the syntax shared by Java, Python and RE2.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that a Python worker turns into numpy arrays at a time.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Rows up to which a table of narrow rows is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -54,10 +55,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark).rstrip('/')}/quarrykit/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    # Shuffle files of what has been written go once the driver's garbage is collected.
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

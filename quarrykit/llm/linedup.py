@@ -13,7 +13,7 @@ at least the threshold; equal lines are the simplest case.
 3.  In a bucket, entries of one token are cut down to one of each distinct token set (its
     first line).  Each entry is paired with the first LEADERS earlier ones that pass the length and
     positional filters; entries with more such predecessors are noted.
-4.  Candidate pairs are verified on full token sets.
+4.  Candidate pairs are verified on full token sets, 40 bits a token.
 5.  Lines that have not been removed yet and had more predecessors are paired with
     all of them, in blocks, and verified as well.  So a family of near copies
     costs a few candidates a line, and no removal is missed.
@@ -29,10 +29,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.llm.common import Words, chunks, mapped, mix, packed, partitions, small, stored
+from quarrykit.llm.common import Words, chunks, mapped, mix, partitions, small, stored
 
 COUNTER_BITS = 17
 LEADERS = 2
@@ -126,8 +127,10 @@ def _from_planes(raw: bytes, width: int) -> np.ndarray:
 
 #: Fixed value: columns of an entry and their bytes: token, token set, document, line, tokens of the line, place of the token.
 _WIDTHS = {"tok": 4, "cls": 5, "doc": 8, "line": 4, "len": 4, "pos": 4}
-_ROW = pa.schema([("bucket", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("line", pa.int64()), *((k, pa.binary()) for k in ("tok", "cls", "docs", "lines", "lens", "poss"))])
-_ROW_SQL = "bucket int, h1 long, h2 long, doc long, line long, tok binary, cls binary, docs binary, lines binary, lens binary, poss binary"
+_ROW = pa.schema([("bucket", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("line", pa.int64()), ("pack", pa.binary())])
+_ROW_SQL = "bucket int, h1 long, h2 long, doc long, line long, pack binary"
+#: Bytes of a token hash in a verified set: two tokens of a pair of lines agree by chance once in 2**40.
+_SET_BYTES = 5
 
 
 def _entries(docs: DataFrame, rank, percent: int, buckets: int) -> DataFrame:
@@ -136,8 +139,7 @@ def _entries(docs: DataFrame, rank, percent: int, buckets: int) -> DataFrame:
 
     def line_rows(lines, ids):
         n = len(lines.doc)
-        empty = pa.nulls(n, pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), pa.array(lines.h1.view(np.int64)), pa.array(lines.h2.view(np.int64)), pa.array(ids[lines.doc]), pa.array(lines.number), *[empty] * 6], schema=_ROW)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), pa.array(lines.h1.view(np.int64)), pa.array(lines.h2.view(np.int64)), pa.array(ids[lines.doc]), pa.array(lines.number), pa.nulls(n, pa.binary())], schema=_ROW)
 
     def packs(held):
         tok, cls, doc, line, size, pos = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -145,9 +147,10 @@ def _entries(docs: DataFrame, rank, percent: int, buckets: int) -> DataFrame:
         at = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[at], np.arange(buckets + 1, dtype=np.uint64))
         rows = [(b, at[edges[b] : edges[b + 1]]) for b in range(buckets) if edges[b + 1] > edges[b]]
-        cols = [[_planes(x[i], w) for _, i in rows] for x, w in zip((tok, cls, doc, line, size, pos), _WIDTHS.values(), strict=True)]
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        body = [squeeze(b"".join(_planes(x[i], w) for x, w in zip((tok, cls, doc, line, size, pos), _WIDTHS.values(), strict=True))) for _, i in rows]
         none = pa.nulls(len(rows), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), none, none, none, none, *(pa.array(c, pa.binary()) for c in cols)], schema=_ROW)
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), none, none, none, none, pa.array(body, pa.binary())], schema=_ROW)
 
     def run(batches):
         held, size = [], 0
@@ -175,8 +178,15 @@ def _entries(docs: DataFrame, rank, percent: int, buckets: int) -> DataFrame:
 class Bucket:
     """The entries of one bucket: one of each token and token set, sorted by token and by place in the table; tokens of one line only are left out."""
 
-    def __init__(self, rows: list[tuple]):
-        cols = [np.concatenate([_from_planes(r[i], w) for r in rows]) for i, w in enumerate(_WIDTHS.values())]
+    def __init__(self, packs: list[bytes]):
+        row, parts = sum(_WIDTHS.values()), []
+        for raw in map(zstandard.ZstdDecompressor().decompress, packs):
+            n, at, part = len(raw) // row, 0, []
+            for w in _WIDTHS.values():
+                part.append(_from_planes(raw[at : at + n * w], w))
+                at += n * w
+            parts.append(part)
+        cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
         tok, cls, doc, line, size, pos = (c.astype(np.int64) for c in cols)
         at = np.lexsort((line, doc, cls, tok))
         keep = np.ones(len(at), bool)
@@ -254,16 +264,16 @@ def _candidates(entries: DataFrame, percent: int, chosen: DataFrame | None = Non
     def run(batches):
         held, at = [], None
         for batch in batches:
-            for bucket, *row in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+            for bucket, pack in zip(*(batch.column(c).to_pylist() for c in range(2)), strict=True):
                 if bucket != at:
                     if held:
                         yield from out(held)
                     held, at = [], bucket
-                held.append(row)
+                held.append(pack)
         if held:
             yield from out(held)
 
-    packs = entries.where("bucket >= 0").select("bucket", "tok", "cls", "docs", "lines", "lens", "poss")
+    packs = entries.where("bucket >= 0").select("bucket", "pack")
     return mapped(packs.repartition("bucket").sortWithinPartitions("bucket"), run, "doc long, line long, doc0 long, line0 long").distinct()
 
 
@@ -289,14 +299,15 @@ def _linked(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                         numbers.append(n)
             if picked:
                 words = Words(picked, lower=True)
-                sets = [np.unique(words.hash[words.bounds[i] : words.bounds[i + 1]]) for i in range(len(picked))]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int64()), packed(sets)], schema=schema)
+                short = words.hash >> np.uint64(64 - 8 * _SET_BYTES)
+                sets = [_planes(np.unique(short[words.bounds[i] : words.bounds[i + 1]]), _SET_BYTES) for i in range(len(picked))]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int64()), pa.array(sets, pa.binary())], schema=schema)
 
     def check(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(4), batch.column(5), strict=True):
-                a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                a, b = (_from_planes(v.as_py(), _SET_BYTES) for v in (x, y))
                 n = 0 if min(len(a), len(b)) == 0 else len(a) + len(b) - len(np.union1d(a, b))
                 keep.append(100 * n >= percent * (len(a) + len(b) - n) and n > 0)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in range(4)], schema=_PAIR)
@@ -306,7 +317,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
     found = mapped(own.join(small(per_doc), "doc").select("doc", "text", "wanted"), tokens, "doc long, line long, set binary")
     # Rows that repeat a doc_id put several sets in one place; each is compared.
-    sets = stored(found.distinct(), "ld-sets")
+    sets = stored(found, "ld-sets")
     earlier = sets.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.col("set").alias("set0"))
     joined = pairs.join(sets, ["doc", "line"]).join(earlier, ["doc0", "line0"]).select("doc", "line", "doc0", "line0", "set", "set0")
     return stored(mapped(joined, check, "doc long, line long, doc0 long, line0 long").distinct(), "ld-links")
