@@ -60,7 +60,7 @@ def plan(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     for share in ROUNDS:
         free = (
             sizes.alias("s").join(small(goal).alias("g"), F.col("s.source").eqNullSafe(F.col("g.source")))
-            .where((F.col("s.size") <= F.col("g.rest") * share) & ~ruled(F.col("g.rules"), F.col("s.size"), F.col("s.key")))
+            .where((F.col("s.size") > 0) & (F.col("s.size") <= F.col("g.rest") * share) & ~ruled(F.col("g.rules"), F.col("s.size"), F.col("s.key")))
             .select("s.source", "s.size", "s.key", "g.rest", F.substring("s.key", 1, BUCKET_DIGITS).alias("bucket"))
         )
         cells = free.groupBy("source", "bucket").agg(F.sum("size").alias("cell"), F.max("rest").alias("rest"))
@@ -80,8 +80,8 @@ def plan(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
 
 def ruled(rules: Column, size: Column, key: Column) -> Column:
-    """Whether a rule takes a document of this size and hash once more."""
-    return F.exists(rules, lambda r: (size <= r["fits"]) & (key <= r["cutoff"]))
+    """Whether a rule takes a document of this size and hash once more; never one without words."""
+    return (size > 0) & F.exists(rules, lambda r: (size <= r["fits"]) & (key <= r["cutoff"]))
 
 
 def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
