@@ -7,10 +7,10 @@
 3.  In each band bucket every class is compared with the bucket's leader only; a pair
     must pass the signature check and then the exact check on full sets.
 4.  Buckets whose members still lie in different components are compared in full,
-    across components only, in blocks of bounded size, and components are formed
-    again; members of one component need no further comparison, so no link that
-    joins components is lost and a bucket of near copies costs as many comparisons
-    as it has members.
+    across components only, in blocks of bounded size: signatures first, then, of those
+    that agree, full sets.  A bucket gives the links that join its components, and components
+    are formed again; members of one component need no further comparison, so no
+    link that joins components is lost.
 
 Defined cases: null, empty and blank texts have empty sets and are linked with
 nothing; a text of fewer words than a shingle is one shingle; equal texts are one
@@ -140,45 +140,83 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, thr
     return stored(mapped(pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv"), run, "u long, v long"), "mh-links")
 
 
-def _across(members: DataFrame, threshold: float) -> DataFrame:
-    """(key, g, node, component, sig) -> pairs of one bucket and two components whose signatures agree.
+def _across(members: DataFrame, threshold: float, exact: bool) -> DataFrame:
+    """Compares the members of each bucket across components: (key, band, g, node, component, bands, sig[, set]).
 
-    A bucket of g blocks is compared block against block, so no task holds more than two.
+    Not exact: (key, node) of the members whose signature agrees with that of another
+    component's member.  Exact: links (u, v) that join components, as many a bucket as it takes
+    to join them, at most one less than it has members.  A pair is compared in its first common
+    band only.  A bucket of g blocks is compared block against block, so no task holds more than two.
     """
+    percent = round(100 * threshold)
     block = F.pmod(F.xxhash64("node", F.lit(7)), F.col("g"))
     dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "component", "sig")
-
-    def pairs(rows):
-        node, comp = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
-        sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, PERMUTATIONS)
-        block = np.array([r[3] for r in rows])
-        apart = len(set(block.tolist())) > 1  # two blocks: only pairs between them, others meet in their own piece
-        for i in range(len(node) - 1):
+    names = ["node", "component", "block", "band", "bands", "sig", *(["set"] if exact else [])]
+    dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), *names)
+
+    def partners(rows):
+        comp, block = (np.array([r[i] for r in rows], np.int64) for i in (1, 2))
+        bands = np.array([r[4] for r in rows], np.int64)[:, : rows[0][3] + 1]
+        sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, PERMUTATIONS)
+        apart = rows[0][2] != rows[-1][2] or len(set(block.tolist())) > 1  # two blocks: pairs inside one meet in its own piece
+        for i in range(len(rows) - 1):
             j = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
             if apart:
                 j = j[block[j] != block[i]]
-            j = j[alike(sig[j], sig[i], threshold)]
-            yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            j = j[(bands[j] == bands[i]).argmax(1) == bands.shape[1] - 1] if len(j) else j
+            if len(j):
+                j = j[alike(sig[j], sig[i], threshold)]
+            if len(j):
+                yield i, j
+
+    def near(key, rows):
+        hit = np.zeros(len(rows), bool)
+        for i, j in partners(rows):
+            hit[i] = True
+            hit[j] = True
+        return [(key, rows[i][0]) for i in np.flatnonzero(hit)]
+
+    def joining(_, rows):
+        root, out = {r[1]: r[1] for r in rows}, []
+        sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for i, js in partners(rows):
+            for j in js.tolist():
+                u, v = find(rows[i][1]), find(rows[j][1])
+                if u == v:
+                    continue
+                a, b = sets[i], sets[j]
+                n = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                if 100 * n >= percent * (len(a) + len(b) - n):
+                    root[max(u, v)] = min(u, v)
+                    out.append((min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])))
+        return out
+
+    solve, out = (joining, ["u", "v"]) if exact else (near, ["key", "node"])
 
     def run(batches):
         held, at = [], None
 
         def flush():
-            found = list(pairs(held)) if len(held) > 1 else []
+            found = solve(at[0], held) if len(held) > 1 else []
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[x] for f in found])) for x in (0, 1)], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([f[x] for f in found], pa.int64()) for x in (0, 1)], out)
 
-        for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(7)]
-            for key, p, q, b, node, comp, sig in zip(*cols, strict=True):
+        for batch in (b.slice(a, 256) for b in batches for a in range(0, b.num_rows, 256)):
+            cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for key, p, q, *row in zip(*cols, strict=True):
                 if (key, p, q) != at:
                     yield from flush()
                     held, at = [], (key, p, q)
-                held.append((node, comp, sig, b))
+                held.append(row)
         yield from flush()
 
-    return mapped(dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q"), run, "u long, v long").distinct()
+    return mapped(dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q"), run, f"{out[0]} long, {out[1]} long").distinct()
 
 
 def clustered(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -187,25 +225,24 @@ def clustered(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     full = fp.where("n_shingles > 0 and doc_id is not null")
     classes = stored(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "mh-classes")
     # Two classes share a node only if rows repeat a doc_id with different texts; linking them is then what that id says.
-    keys = classes.select("node", F.explode("bands").alias("key"))
-    lead = F.min(F.struct(F.xxhash64("node", "key").alias("o"), "node"))
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), lead["node"].alias("leader")).where("n > 1")
-    members = stored(keys.join(buckets, "key").select("key", "node", "n", "leader"), "mh-buckets")
+    keys = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1")
+    members = stored(keys.join(buckets, "key").select("key", "band", "node", "n", "leader"), "mh-buckets")
     star = members.where("node <> leader").select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct()
-    sigs = classes.groupBy("node").agg(F.first("sig").alias("sig"))
-
-    def signed(pairs):
-        left, right = (sigs.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}")) for x in ("u", "v"))
-        return stored(_screened(pairs.join(left, "u").join(right, "v"), threshold), "mh-pairs")
-
-    links = _verified(docs, signed(star), classes, k, threshold)
+    sigs = classes.groupBy("node").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    left, right = (sigs.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}")) for x in ("u", "v"))
+    pairs = stored(_screened(star.join(left, "u").join(right, "v"), threshold), "mh-pairs")
+    links = _verified(docs, pairs, classes, k, threshold)
     comp = stored(components(links), "mh-components")
-    placed = members.join(comp, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    placed = members.join(comp, "node", "left").select("key", "band", "node", "n", F.coalesce("component", "node").alias("component"))
     split = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    rest = placed.join(split, "key").join(sigs, "node").select("key", F.ceil(F.col("n") / BLOCK).alias("g"), "node", "component", "sig")
-    late = stored(_across(rest, threshold), "mh-late")
-    more = _verified(docs, late, classes, k, threshold)
-    if not more.isEmpty():
+    rest = placed.join(split, "key").join(sigs, "node").select("key", "band", F.ceil(F.col("n") / BLOCK).alias("g"), "node", "component", "bands", "sig")
+    rest = stored(rest, "mh-rest")
+    near = stored(_across(rest, threshold, exact=False), "mh-near")
+    if not near.isEmpty():
+        ids = stored(classes.select("node", "h1", "h2").join(near.select("node").distinct(), "node", "left_semi"), "mh-ids")
+        full_rows = rest.join(near, ["key", "node"], "left_semi").join(stored(_sets(docs, ids, k), "mh-sets"), "node")
+        more = stored(_across(full_rows, threshold, exact=True), "mh-links")
         comp = stored(components(links.unionByName(more)), "mh-components")
     named = classes.select("h1", "h2", "node").join(comp, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("c"))
     out = fp.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
