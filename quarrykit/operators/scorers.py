@@ -116,9 +116,10 @@ def contained(gold: Column, output: Column, lower: bool) -> Column:
 
 def ngram_counts(texts: DataFrame, keys: list[str], most: int = 4) -> DataFrame:
     """Keys, k, gram, n of a table with a text column: the 1- to `most`-grams of words and how often they occur."""
-    t = F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")
-    grams = reduce(lambda a, b: F.concat(a, b), (_grams(t, k) for k in range(1, most + 1)))
-    return texts.select(*keys, F.explode(grams).alias("g")).groupBy(*keys, "g.k", "g.gram").agg(F.count(F.lit(1)).alias("n"))
+    # The words are a column of their own: inside the lambdas an expression would be split anew for every n-gram.
+    split = texts.select(*keys, F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "").alias("__t"))
+    grams = reduce(lambda a, b: F.concat(a, b), (_grams(F.col("__t"), k) for k in range(1, most + 1)))
+    return split.select(*keys, F.explode(grams).alias("g")).groupBy(*keys, "g.k", "g.gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _grams(t: Column, k: int) -> Column:
