@@ -104,6 +104,13 @@ def _(spark, d):
     return c.select("uid", text.no_bad_prefix(F.col("c")).alias("no_bad_prefix"), text.no_bad_pattern(F.col("c")).alias("no_bad_pattern"))
 
 
+@query("p10_p11_bad_patterns_whole")
+def _(spark, d):
+    """The same predicates over whole captions."""
+    c = F.col("caption")
+    return captions(spark, d).select("uid", text.no_bad_prefix(c).alias("no_bad_prefix"), text.no_bad_pattern(c).alias("no_bad_pattern"))
+
+
 @query("p12_frequent_bad_text", f"""WITH {CAPTIONS}, bad AS (SELECT DISTINCT substr(lower(caption), 1, 1000) AS t FROM captions WHERE doc_id % 9 = 0)
   SELECT uid FROM captions WHERE substr(lower(caption), 1, 1000) NOT IN (SELECT t FROM bad)""")
 def _(spark, d):
@@ -168,6 +175,14 @@ def _(spark, d):
     return filters.mentions_entity(captions(spark, d), lexicon, lexicon.where("entity > 6").select("entity")).select("uid")
 
 
+@query("p25_text_entity_whole")
+def _(spark, d):
+    """The same filter with a lexicon of every benchmark text."""
+    word = F.explode(F.array_distinct(text.words(F.lower("text")))).alias("word")
+    lexicon = read(spark, d, "benchmark").select(word).distinct().select("word", F.length("word").alias("entity"))
+    return filters.mentions_entity(captions(spark, d), lexicon, lexicon.where("entity > 6").select("entity")).select("uid")
+
+
 # ----------------------------------------------------------------- vectors
 
 _NEAREST_RANKED = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT vec_id AS id, e AS ce FROM v WHERE vec_id < 16),
@@ -495,10 +510,17 @@ def _(spark, d):
     return read(spark, d, "benchmark").select("item_id", F.round(ans.anls(a, F.array(b)), 6).alias("anls"))
 
 
+@query("x09_anls_whole")
+def _(spark, d):
+    """ANLS of whole benchmark texts against themselves without their first 0 to 7 characters."""
+    gold = F.substr(F.col("text"), (1 + F.col("item_id") % 8).cast("int"))
+    return read(spark, d, "benchmark").select("item_id", F.round(ans.anls(F.col("text"), F.array(gold)), 6).alias("anls"))
+
+
 @query("e12_mmmu_parse")
 def _(spark, d):
     k = F.col("doc_id")
-    response = F.when(k % 4 == 0, "The answer is (B).").when(k % 4 == 1, "C").when(k % 4 == 2, F.concat(F.lit("so it is "), (k % 9).cast("string"))).otherwise(F.substring("text", 1, 60))
+    response = F.when(k % 4 == 0, "The answer is (B).").when(k % 4 == 1, "C").when(k % 4 == 2, F.concat(F.lit("so it is "), (k % 9).cast("string"))).otherwise(F.col("text"))
     rows = read(spark, d, "documents").select("doc_id", response.alias("r"), F.array(*map(F.lit, ("red", "green", "blue", "grey"))).alias("o"), F.array((k % 5).cast("string")).alias("g"))
     return rows.select("doc_id", ans.parse_choice("r", "o", F.col("doc_id").cast("string")).alias("letter"), ans.open_correct("r", "g").alias("open_correct"))
 
@@ -521,6 +543,14 @@ def _(spark, d):
     return scorers.cider(pred, refs).select("image", F.round("cider", 5).alias("cider"))
 
 
+@query("e20_cider_whole")
+def _(spark, d):
+    """CIDEr of every document's whole text against itself and itself without its first 20 characters; no SQL, as it is too much for one machine."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("image"), F.coalesce("text", F.lit("")).alias("text"))
+    refs = docs.select("image", F.explode(F.array(F.lit(0), F.lit(1))).alias("ref"), "text").withColumn("text", F.substr(F.col("text"), 1 + 20 * F.col("ref")))
+    return scorers.cider(docs, refs).select("image", F.round("cider", 5).alias("cider"))
+
+
 @query("e22_bleu4")
 def _(spark, d):
     docs = read(spark, d, "documents")
