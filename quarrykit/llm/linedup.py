@@ -14,9 +14,11 @@ at least the threshold; equal lines are the simplest case.
     first line).  Each entry is paired with the first LEADERS earlier ones that pass the length and
     positional filters; entries with more such predecessors are noted.
 4.  Candidate pairs are verified on full token sets, 40 bits a token.
-5.  Lines that have not been removed yet and had more predecessors are paired with
-    all of them, in blocks, and verified as well.  So a family of near copies
-    costs a few candidates a line, and no removal is missed.
+5.  Lines that had more predecessors are paired with all of them, in blocks, and
+    verified as well, so every link between distinct token sets is known: a family
+    of n near copies has about n * n / 2 of them.  Where only removals are asked for
+    (`deduplicated`), this is done for lines that no verified pair removes yet; the
+    family then costs a few candidates a line, and no removal is missed.
 
 Defined cases: null, empty and blank texts and lines have no tokens and are never removed; lines of rows
 that repeat a doc_id take that id's place in the order, and two lines of one place
@@ -235,6 +237,8 @@ class Bucket:
 
 _PAIR = pa.schema([("doc", pa.int64()), ("line", pa.int64()), ("doc0", pa.int64()), ("line0", pa.int64())])
 
+_LINK = pa.schema([(c, pa.int64()) for c in ("doc", "line", "h", "doc0", "line0", "h0")])
+
 
 def _candidates(entries: DataFrame, percent: int, chosen: DataFrame | None = None) -> DataFrame:
     """(doc, line, doc0, line0): a later and an earlier line; of chosen lines all, else the first ones and, with doc0 null, that there are more."""
@@ -283,10 +287,10 @@ def _place(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The distinct (doc, line, doc0, line0) of the pairs whose full token sets are alike enough."""
+    """The distinct (doc, line, h, doc0, line0, h0) of the pairs whose full token sets, named by h and h0, are alike enough and not the same."""
 
     def tokens(batches):
-        schema = pa.schema([("doc", pa.int64()), ("line", pa.int64()), ("set", pa.binary())])
+        schema = pa.schema([("doc", pa.int64()), ("line", pa.int64()), ("h", pa.int64()), ("set", pa.binary())])
         for batch, texts in chunks(batches):
             wanted = batch.column(2).to_pylist()
             picked, ids, numbers = [], [], []
@@ -298,66 +302,82 @@ def _linked(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                         ids.append(doc)
                         numbers.append(n)
             if picked:
-                words = Words(picked, lower=True)
-                short = words.hash >> np.uint64(64 - 8 * _SET_BYTES)
-                sets = [_planes(np.unique(short[words.bounds[i] : words.bounds[i + 1]]), _SET_BYTES) for i in range(len(picked))]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int64()), pa.array(sets, pa.binary())], schema=schema)
+                lines = Lines(picked, None)
+                short = lines.tokens >> np.uint64(64 - 8 * _SET_BYTES)
+                sets = [_planes(np.unique(short[i:j]), _SET_BYTES) for i, j in zip(lines.first, lines.first[1:])]
+                at = [pa.array(np.array(x, np.int64)[lines.doc]) for x in (ids, numbers)]
+                yield pa.RecordBatch.from_arrays([*at, pa.array(lines.h1.view(np.int64)), pa.array(sets, pa.binary())], schema=schema)
 
     def check(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(4), batch.column(5), strict=True):
+            for x, y in zip(batch.column(6), batch.column(7), strict=True):
                 a, b = (_from_planes(v.as_py(), _SET_BYTES) for v in (x, y))
                 n = 0 if min(len(a), len(b)) == 0 else len(a) + len(b) - len(np.union1d(a, b))
                 keep.append(100 * n >= percent * (len(a) + len(b) - n) and n > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in range(4)], schema=_PAIR)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in range(6)], schema=_LINK)
 
     places = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc0").alias("doc"), F.col("line0").alias("line"))).distinct()
     per_doc = stored(places.groupBy("doc").agg(F.collect_list("line").alias("wanted")), "ld-wanted")
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    found = mapped(own.join(small(per_doc), "doc").select("doc", "text", "wanted"), tokens, "doc long, line long, set binary")
+    found = mapped(own.join(small(per_doc), "doc").select("doc", "text", "wanted"), tokens, "doc long, line long, h long, set binary")
     # Rows that repeat a doc_id put several sets in one place; each is compared.
     sets = stored(found, "ld-sets")
-    earlier = sets.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.col("set").alias("set0"))
-    joined = pairs.join(sets, ["doc", "line"]).join(earlier, ["doc0", "line0"]).select("doc", "line", "doc0", "line0", "set", "set0")
-    return stored(mapped(joined, check, "doc long, line long, doc0 long, line0 long").distinct(), "ld-links")
+    earlier = sets.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.col("h").alias("h0"), F.col("set").alias("set0"))
+    joined = pairs.join(sets, ["doc", "line"]).join(earlier, ["doc0", "line0"]).where("h <> h0").select("doc", "line", "h", "doc0", "line0", "h0", "set", "set0")
+    return stored(mapped(joined, check, "doc long, line long, h long, doc0 long, line0 long, h0 long").distinct(), "ld-links")
+
 
+def judged_lines(docs: DataFrame, threshold: float = 0.8, every: bool = True) -> DataFrame:
+    """doc, line, doc0 (the document of the earliest line that removes it, null if it stays), links (earlier distinct token sets, other than its own, that are alike).
 
-def judged_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc, line, doc0 (the document of the earliest line known to remove it, null if it stays), near (removed by a line with other tokens)."""
+    With `every` false, only whether doc0 is null is exact.
+    """
     percent = round(100 * threshold)
     spark = docs.sparkSession
     entries = stored(_entries(docs, ranks(counters(docs)), percent, 2 * partitions(spark)), "ld-entries")
     lines = entries.where("bucket < 0").select("h1", "h2", "doc", "line")
     cand = stored(_candidates(entries, percent), "ld-pairs")
-    links = _linked(docs, cand.where("doc0 is not null"), percent)
-    late = stored(cand.where("doc0 is null").select("doc", "line").join(links, ["doc", "line"], "left_anti").withColumn("part", F.xxhash64("doc", "line")), "ld-late")
+    pairs, late = cand.where("doc0 is not null"), cand.where("doc0 is null").select("doc", "line")
+    # The lines of the blocks are paired with all their predecessors there.
+    links = _linked(docs, pairs.join(late, ["doc", "line"], "left_anti") if every else pairs, percent)
+    if not every:
+        late = late.join(links, ["doc", "line"], "left_anti")
+    late = stored(late.withColumn("part", F.xxhash64("doc", "line")), "ld-late")
     n = late.count()
     parts = -(-n // BLOCK_LINES)
     for p in range(parts):
         block = late.where(F.pmod("part", F.lit(parts)) == p).select("doc", "line")
         links = links.unionByName(_linked(docs, stored(_candidates(entries, percent, block), "ld-pairs"), percent))
-    best = links.groupBy("doc", "line").agg(F.min("doc0").alias("doc0"))
-    first = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("f"))
-    first = first.select("h1", "h2", F.col("f.doc").alias("fdoc"), F.col("f.line").alias("fline"))
-    first = first.join(best.select(F.col("doc").alias("fdoc"), F.col("line").alias("fline"), "doc0"), ["fdoc", "fline"], "left")
+    first = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("f"), F.count(F.lit(1)).alias("copies"))
+    first = stored(first.select("h1", "h2", F.col("f.doc").alias("fdoc"), F.col("f.line").alias("fline"), "copies"), "ld-first")
+    place = first.select(F.col("fdoc").alias("doc"), F.col("fline").alias("line"), F.col("h1").alias("h"), "copies")
+    # Rows that repeat a doc_id may link a set's later place, too; only its first one counts.
+    links = stored(links.join(place, ["doc", "line", "h"], "left_semi"), "ld-known")
+    best = links.groupBy("doc", "line", "h").agg(F.min("doc0").alias("doc0"), F.count_distinct("h0").alias("n"))
+    # A copy also comes after sets that are later than its own set's first line.
+    again = place.where("copies > 1").select(*(F.col(c).alias(f"{c}0") for c in ("doc", "line", "h")))
+    later = links.join(again, ["doc0", "line0", "h0"], "left_semi").groupBy("doc0", "line0", "h0").agg(F.collect_list(F.struct("doc", "line")).alias("later"))
+    first = first.join(best.select(F.col("doc").alias("fdoc"), F.col("line").alias("fline"), F.col("h").alias("h1"), "doc0", "n"), ["fdoc", "fline", "h1"], "left")
+    first = first.join(later.select(F.col("doc0").alias("fdoc"), F.col("line0").alias("fline"), F.col("h0").alias("h1"), "later"), ["fdoc", "fline", "h1"], "left")
     copy = (F.col("doc") != F.col("fdoc")) | (F.col("line") != F.col("fline"))
-    return lines.join(first, ["h1", "h2"]).select("doc", "line", F.coalesce("doc0", F.when(copy, F.col("fdoc"))).alias("doc0"), F.col("doc0").isNotNull().alias("near"))
+    since = F.when(copy & F.col("later").isNotNull(), F.size(F.filter("later", lambda x: x < F.struct("doc", "line")))).otherwise(0)
+    return lines.join(first, ["h1", "h2"]).select("doc", "line", F.coalesce("doc0", F.when(copy, F.col("fdoc"))).alias("doc0"), (F.coalesce("n", F.lit(0)) + since).alias("links"))
 
 
-def _per_document(docs: DataFrame, threshold: float) -> DataFrame:
+def _per_document(docs: DataFrame, threshold: float, every: bool) -> DataFrame:
     gone = F.when(F.col("doc0").isNotNull(), F.col("line"))
-    return judged_lines(docs, threshold).groupBy("doc").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count("doc0").alias("n_removed"), F.count_if("near").alias("n_links"), F.min("doc0").alias("doc0"), F.array_sort(F.collect_set(gone)).alias("removed")
+    return judged_lines(docs, threshold, every).groupBy("doc").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count("doc0").alias("n_removed"), F.sum("links").alias("n_links"), F.min("doc0").alias("doc0"), F.array_sort(F.collect_set(gone)).alias("removed")
     )
 
 
 def judged(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Per row of docs (doc_id, text): n_lines, n_removed, n_links (lines removed by a line of other words), class_id, removed_lines.
+    """Per row of docs (doc_id, text): n_lines, n_removed, n_links (pairs of a line and an earlier distinct set of other words that removes it), class_id, removed_lines.
 
-    class_id is the smallest doc_id that holds a line which removes one of this document's, else its own.
+    class_id is the smallest doc_id that holds a line which removes one of this document's, else its own; its own, too, where a line without doc_id is among these.
     """
-    per_doc = _per_document(docs, threshold)
+    per_doc = _per_document(docs, threshold, True)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     out = ids.join(per_doc, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("doc"), "left")
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_lines", "n_removed", "n_links")]
@@ -367,7 +387,7 @@ def judged(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def deduplicated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The documents without their removed lines; those of which no word is left go. Columns are those of docs."""
-    per_doc = stored(_per_document(docs, threshold).where("n_removed > 0").select(F.col("doc").alias("__ld_doc"), F.col("removed").alias("__ld_removed"), (F.col("n_removed") == F.col("n_lines")).alias("__ld_all")), "ld-removed")
+    per_doc = stored(_per_document(docs, threshold, False).where("n_removed > 0").select(F.col("doc").alias("__ld_doc"), F.col("removed").alias("__ld_removed"), (F.col("n_removed") == F.col("n_lines")).alias("__ld_all")), "ld-removed")
     joined = docs.join(small(per_doc), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("__ld_doc"), "left")
     left = joined.where(~F.coalesce("__ld_all", F.lit(False)))
     numbered = F.filter(F.transform(F.split(docs["text"], "\n", -1), lambda x, i: F.when(~F.array_contains("__ld_removed", i.cast("long")), x)), lambda x: x.isNotNull())
