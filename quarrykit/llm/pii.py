@@ -8,9 +8,16 @@ values have equal pseudonyms in all documents however they are punctuated, diffe
 different, and the key's holder can undo it (`inverse`; of a date with slashes that is one as D/M/Y
 only, the order is not known afterwards and it may come back as another date).
 
+Every start of a run of numbers is tried with every end at a number's end, and what
+validates is replaced, the leftmost first, so a value beside another number is found.  At one
+start the order is that of the patterns, then 16 and 15 digits of a card before other lengths and national numbers
+of the American plan before other phones; a card of another length or a phone that holds a value of a stricter
+kind gives way to it.  Where numbers stand side by side, a pseudonym may validate together with its neighbour; `inverse`
+then may not give the text back.
+
 kind    accepted                                              permuted
 card    13 to 19 digits, single spaces or dashes, Luhn         all digits; the last is computed
-iban    country, two check digits, 11 to 30 more, modulo 97    what follows; check digits are computed
+iban    country, two check digits, 11 to 30 more, in one or in groups of four, modulo 97    what follows; check digits are computed
 ssn     3-2-4 digits in issued ranges                          the three numbers
 date    Y-M-D, D.M.Y, M/D/Y (D/M/Y if only that is a date), 1904 to 2099    the day, within 1904 to 2099
 ip      four octets                                           the octets
@@ -32,12 +39,12 @@ ROUNDS = 8
 KEY = "quarrykit-test-key"
 KINDS = ("card", "iban", "ssn", "date", "ip", "phone", "email")
 
-#: The patterns of the kinds, in the order in which they are tried. All but email begin with BEFORE, so most characters are passed by one look.
-BEFORE = r"(?<![0-9A-Za-z_.+@-])(?=[0-9A-Z+(])"
+#: The patterns of the kinds, in the order in which they are tried. All but email begin with BEFORE.
+BEFORE = r"(?<![0-9A-Za-z_.+@-])"
 _E = r"(?![0-9A-Za-z_])"
 PATTERNS = {
     "email": r"(?<![0-9A-Za-z._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + _E,
+    "iban": r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)" + _E,
     "date": r"(?:[12][0-9]{3}-[01][0-9]-[0-3][0-9]|[0-3][0-9](?:/[0-3][0-9]/|\.[0-3][0-9]\.)[12][0-9]{3})" + _E,
     "ip": r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}" + r"(?![0-9A-Za-z_]|\.[0-9])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + r"(?![0-9A-Za-z_-])",
@@ -46,12 +53,26 @@ PATTERNS = {
 }
 
 
-def combined(kinds: tuple[str, ...]) -> str:
-    rest = [PATTERNS[k] for k in PATTERNS if k in kinds and k != "email"]
-    out = [PATTERNS["email"]] if "email" in kinds else []
-    if rest:
-        out.append(f"{BEFORE}(?:{'|'.join(f'(?:{p})' for p in rest)})")
-    return "|".join(out)
+_A = r"(?![A-Za-z_])"
+#: A start and, looked at only, the longest run of numbers, or of an IBAN's groups, from there. Cards and phones may also begin after a number and a dash.
+RUNS = rf"(?:{BEFORE}|(?<=[0-9]-))(?=[0-9A-Z+(])(?=((?:\+?\(?[0-9]++{_A}(?:(?:\)[ .-]?|[ .-]?\(|[ ./-])[0-9]++{_A}){{0,18}}|[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}{_E}|(?: [A-Z0-9]{{1,4}}{_E}){{3,8}}))))"
+#: What may not follow a card or a phone: the rest of a date, of a social security number or of an address that it would end in.
+_REST = (
+    r"(?!-[0-9]{2}-[0-9]{2,4}(?![0-9])|/[0-9]{2}/[0-9]{4}|\.[0-9]{2}\.[0-9]{4}|(?:\.[0-9]{1,3}){3}(?![0-9])"
+    r"|(?<=[0-9]{3}-[0-9]{2})-[0-9]{2,4}(?![0-9])|(?<=[0-9]{2}/[0-9]{2})/[0-9]{4}|(?<=[0-9]{2}\.[0-9]{2})\.[0-9]{4}"
+    r"|(?<= [0-9]{1,3}\.[0-9]{1,3})(?:\.[0-9]{1,3}){2}(?![0-9])|(?<= [0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})\.[0-9]{1,3}(?![0-9]))"
+)
+_DASHED = rf"(?:{BEFORE}|(?<=[0-9]-))"
+#: What stands before and after a value of each kind.
+BOUNDS = {
+    "email": (r"(?<![0-9A-Za-z._%+-])", r"(?![A-Za-z0-9])"),
+    "iban": (BEFORE, _E),
+    "date": (BEFORE, _E),
+    "ip": (BEFORE, r"(?![0-9A-Za-z_]|\.[0-9])"),
+    "ssn": (BEFORE, r"(?![0-9A-Za-z_-])"),
+    "card": (_DASHED, _E + _REST),
+    "phone": (_DASHED, _E + _REST),
+}
 
 
 def let(value: Column, use) -> Column:
@@ -155,7 +176,11 @@ def _mod97(s: Column) -> Column:
     return F.aggregate(_chars(s), F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), F.pmod(a * 10 + _code(c) - 48, F.lit(97))).otherwise(F.pmod(a * 100 + _code(c) - 55, F.lit(97))).cast("int"))
 
 
-def _iban(m: Column, key: str, inverse: bool) -> Column:
+def _iban(shown: Column, key: str, inverse: bool) -> Column:
+    return let(F.translate(shown, " ", ""), lambda m: F.when(F.length(m).between(15, 34), let(_iban_of(m, key, inverse), lambda v: F.when(v.isNotNull(), _laid(shown, v)))))
+
+
+def _iban_of(m: Column, key: str, inverse: bool) -> Column:
     country, rest = F.substring(m, 1, 2), F.substr(m, F.lit(5))
     check = lambda body: F.lpad((98 - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")
     made = let(_permuted_chars(rest, key, "iban", inverse), lambda body: F.concat(country, check(body), body))
@@ -202,11 +227,16 @@ def _ip(m: Column, key: str, inverse: bool) -> Column:
     return F.when(ok, F.array_join(feistel(octets, F.array_repeat(F.lit(256), 4), key, "ip", inverse), "."))
 
 
+def _american(m: Column) -> Column:
+    d = _digits(m)
+    return F.when(m.startswith("+"), d.rlike("^1[2-9][0-9]{2}[2-9][0-9]{6}$")).otherwise(d.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$") & m.rlike("[^0-9]"))
+
+
 def _phone(m: Column, key: str, inverse: bool) -> Column:
     d = _digits(m)
     plus = m.startswith("+")
     national = F.substr(d, F.length(d) - 9)
-    american = F.when(plus, d.rlike("^1[2-9][0-9]{2}[2-9][0-9]{6}$")).otherwise(d.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$") & m.rlike("[^0-9]"))
+    american = _american(m)
     limits = (8, 10, 10, 8, 10, 10, 10, 10, 10, 10)
     radices = F.array(*map(F.lit, limits))
     low = F.array(*(F.lit(10 - x) for x in limits))
@@ -235,15 +265,55 @@ def pseudonym(match: Column, key: str = KEY, kinds: tuple[str, ...] = KINDS, inv
     return out
 
 
+def _starts(run: Column) -> Column:
+    """The run's parts from its start to the end of each of its numbers."""
+    return let(F.regexp_extract_all(run, F.lit("[^0-9A-Z]*[0-9A-Z]+"), F.lit(0)), lambda p: F.transform(p, lambda x, i: F.array_join(F.slice(p, F.lit(1), i + 1), "")))
+
+
+def values(text: Column, key: str, kinds: tuple[str, ...], inverse: bool) -> Column:
+    """The distinct values in a text, wherever they start and end, as (rank, less, match, kind, value) in the order in which they are tried at one start."""
+    rest = [PATTERNS[k] for k in PATTERNS if k in kinds and k != "email"]
+    some = []
+    if rest:
+        whole = "^(?:" + "|".join(f"(?:{p})" for p in rest) + ")$"
+        runs = F.array_distinct(F.regexp_extract_all(text, F.lit(RUNS), F.lit(1)))
+        some.append(F.filter(F.flatten(F.transform(runs, _starts)), lambda m: m.rlike(whole)))
+    if "email" in kinds:
+        some.append(F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0)))
+    order = list(PATTERNS)
+
+    def ranked(m: Column) -> Column:
+        def one(v: Column) -> Column:
+            n = F.length(_digits(m))
+            usual = F.when(v["kind"] == "card", F.when(n == 16, 0).when(n == 15, 1).otherwise(2)).when(v["kind"] == "phone", F.when(_american(m), 0).otherwise(1)).otherwise(0)
+            kind = F.coalesce(*(F.when(v["kind"] == k, F.lit(10 * i)) for i, k in enumerate(order)))
+            return F.struct((kind + usual).alias("rank"), (-F.length(m)).alias("less"), m.alias("match"), v["kind"].alias("kind"), v["value"].alias("value"))
+
+        return let(pseudonym(m, key, kinds, inverse), one)
+
+    loose = 10 * order.index("card") + 2
+    held = lambda v, all_: F.exists(all_, lambda w: w["rank"].between(10, loose - 1) & v["match"].contains(w["match"]))
+    known = F.filter(F.transform(F.array_distinct(F.concat(*some)), ranked), lambda v: v["kind"].isNotNull())
+    return let(known, lambda all_: F.sort_array(F.filter(all_, lambda v: (v["rank"] < loose) | ~held(v, all_))))
+
+
+def _quoted(v: Column) -> Column:
+    """The pattern of a value with what may stand around it."""
+    side = lambda i: F.coalesce(*(F.when(v["kind"] == k, F.lit(b[i])) for k, b in BOUNDS.items()))
+    return F.concat(side(0), F.lit("\\Q"), v["match"], F.lit("\\E"), side(1))
+
+
 def pseudonymised(docs: DataFrame, key: str = KEY, kinds: tuple[str, ...] = KINDS, inverse: bool = False) -> DataFrame:
     """docs with text rewritten, and a column `pii`: an array of (kind, value), value being the pseudonym."""
-    pattern = combined(kinds)
-    found = docs.withColumn("__pii_match", F.when(F.col("text").rlike("[0-9]|@"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
-    made = found.withColumn("pii", F.transform("__pii_match", lambda m: pseudonym(m, key, kinds, inverse)))
-    gaps = F.split(F.col("text"), pattern, -1)
+    known = docs.withColumn("__pii_known", F.when(F.col("text").rlike("[0-9]|@"), values(F.col("text"), key, kinds, inverse)))
+    found = known.withColumn("__pii_at", F.when(F.size("__pii_known") > 0, F.array_join(F.transform("__pii_known", _quoted), "|")))
+    found = found.withColumn("__pii_match", F.regexp_extract_all("text", F.col("__pii_at"), F.lit(0)))
+    of = lambda m: let(F.filter("__pii_known", lambda v: v["match"] == m), lambda v: F.struct(v[0]["kind"].alias("kind"), v[0]["value"].alias("value")))
+    made = found.withColumn("pii", F.transform("__pii_match", of))
+    gaps = F.split(F.col("text"), F.col("__pii_at"), -1)
     joined = F.array_join(F.zip_with(gaps, F.col("pii"), lambda g, v: F.concat(g, F.coalesce(v["value"], F.lit("")))), "")
-    text = F.when(F.size(F.col("__pii_match")) > 0, joined).otherwise(F.col("text"))
-    return made.withColumn("text", text).withColumn("pii", F.filter(F.coalesce("pii", F.expr("cast(array() as array<struct<kind:string,value:string>>)")), lambda v: v["kind"].isNotNull())).drop("__pii_match")
+    text = F.when(F.size("__pii_match") > 0, joined).otherwise(F.col("text"))
+    return made.withColumn("text", text).withColumn("pii", F.coalesce("pii", F.expr("cast(array() as array<struct<kind:string,value:string>>)"))).drop("__pii_known", "__pii_at", "__pii_match")
 
 
 def report(docs: DataFrame, key: str = KEY, kinds: tuple[str, ...] = KINDS) -> DataFrame:
