@@ -8,7 +8,8 @@ group's mention scores what neither does alone.
 
 The model is fitted on the driver from at most SAMPLE labelled documents, those with
 the smallest hashes of doc_id; their term slots are extracted on the executors, and only slots
-of at least MIN_DOCS of these documents that go with a label are learnt.  Every document is then
+of at least MIN_DOCS of these documents that go with a label, by themselves or beside a slot
+that does, are learnt.  Every document is then
 scored in full by its worker; nothing is shuffled.
 
 Defined cases: null, empty and blank texts have no term and score the model's prior;
@@ -95,6 +96,41 @@ class Machine:
         return self.bias + linear + 0.5 * ((sums * sums).sum(1) - square), sums
 
 
+def beside(rows: list[np.ndarray], labels: np.ndarray, slots: np.ndarray, strong: np.ndarray) -> np.ndarray:
+    """Which slots tell toxic documents from others among those of some strong slot.
+
+    A slot's c documents of that kind, t of them toxic, stand out of the share s by Chernoff's
+    bound 2 exp(-c KL(t / c, s)), held under one over the number of pairs.
+    """
+    own, pairs = [], []
+    for d, r in enumerate(rows):
+        at = np.minimum(np.searchsorted(slots, r), len(slots) - 1)
+        own.append(at[slots[at] == r].astype(np.int32))
+        held = own[-1][strong[own[-1]]]
+        pairs.append(np.stack([held, np.full(len(held), d, np.int32)]))
+    slot, doc = np.concatenate(pairs, 1)
+    doc = doc[np.argsort(slot, kind="stable")]
+    ends = np.cumsum(np.bincount(slot, minlength=len(slots)))
+    limit, out = np.log(2.0 * strong.sum() * len(slots)), np.zeros(len(slots), bool)
+    for i in np.flatnonzero(strong):
+        docs = doc[ends[i - 1] if i else 0 : ends[i]]
+        share = labels[docs].mean()
+        if not 0 < share < 1:
+            continue
+        # Counted a few documents at a time, as the driver's memory is small.
+        total = np.zeros((2, len(slots)), np.int32)
+        for kind in (0, 1):
+            of = docs[labels[docs] == kind]
+            for x in range(0, len(of), 256):
+                total[kind] += np.bincount(np.concatenate([own[d] for d in of[x : x + 256]]), minlength=len(slots)).astype(np.int32)
+        used = np.flatnonzero(total.sum(0) >= MIN_DOCS)
+        c = total[:, used].sum(0)
+        q = total[1, used] / c
+        kl = q * np.log(np.maximum(q, 1e-300) / share) + (1 - q) * np.log(np.maximum(1 - q, 1e-300) / (1 - share))
+        out[used[c * kl > limit]] = True
+    return out
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Machine:
     """AdaGrad on the logistic loss with weight decay; the rows' order is the given one, so a fit can be repeated."""
     n = len(rows)
@@ -105,9 +141,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Machine:
     flat = np.concatenate(rows)
     slots, counts = np.unique(flat, return_counts=True)
     toxic = np.bincount(np.searchsorted(slots, flat), np.repeat(labels, [len(r) for r in rows]), len(slots))
+    del flat
     share = labels.mean()
     strong = np.abs(toxic - counts * share) >= SIGNAL * np.sqrt(counts * share * (1 - share))
-    slots = slots[(counts >= MIN_DOCS) & strong]
+    strong, slots = strong[counts >= MIN_DOCS], slots[counts >= MIN_DOCS]
+    if strong.any():
+        strong = strong | beside(rows, labels, slots, strong)
+    slots = slots[strong]
     if not len(slots):
         return machine
     rng = np.random.default_rng(seed)
