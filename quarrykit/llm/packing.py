@@ -1,10 +1,9 @@
 """Length buckets that minimise padding, and token-budget batches inside each bucket.
 
-The histogram of lengths covers all documents.  Lengths up to 512 are cells of their
-own; above, cells hold lengths that share their nine leading bits, and a cell keeps
-its count, its sum and its longest length, so the dynamic programme is exact for
-boundaries at cell ends and the driver gets a few thousand cells however large the
-input is.  A bucket's documents are dealt by hash to groups of bounded size and
+The histogram of lengths covers all documents, and each length is a cell of its own, so
+the dynamic programme is exact.  Distinct lengths add up to no more than all words, so
+the driver gets at most the square root of twice their number of cells (100 000 of 5e9 words).
+The best last cuts of longer and longer prefixes never go back, so they are found by halving.  A bucket's documents are dealt by hash to groups of bounded size and
 numbered there, so no bucket meets in one task; a group leaves one batch part full at most.
 
 Defined cases: null and empty texts have length 0 and go to the first bucket; a
@@ -30,11 +29,8 @@ GROUP_ROWS = 4096
 
 def histogram(lengths: DataFrame) -> list[tuple[int, int, int]]:
     """(longest, count, sum) of each cell, ascending."""
-    bits = F.length(F.bin("length"))
-    shift = F.greatest(bits - 9, F.lit(0))
-    cell = F.expr("shiftright(length, cast(greatest(length(bin(length)) - 9, 0) as int))")
-    cells = lengths.groupBy(shift.alias("shift"), cell.alias("cell")).agg(F.max("length").alias("longest"), F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"))
-    return sorted((r["longest"], r["n"], r["total"]) for r in cells.collect())
+    cells = lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    return sorted((r["length"], r["n"], r["length"] * r["n"]) for r in cells.collect())
 
 
 def boundaries(cells: list[tuple[int, int, int]], buckets: int = BUCKETS) -> list[int]:
@@ -49,14 +45,19 @@ def boundaries(cells: list[tuple[int, int, int]], buckets: int = BUCKETS) -> lis
     for _ in range(1, min(buckets, m)):
         nxt, cut = best.copy(), np.zeros(m, np.int64)
         base = best[:-1] + s[1:-1]  # a bucket of cells i + 1 .. j costs longest[j] * (n[j+1] - n[i+1]) - (s[j+1] - s[i+1])
-        for a in range(1, m, 1024):
-            j = np.arange(a, min(a + 1024, m))
-            cost = base[None, : j[-1]] - longest[j][:, None] * n[1 : j[-1] + 1][None, :]
-            cost[np.arange(j[-1])[None, :] >= j[:, None]] = np.iinfo(np.int64).max
-            i = cost.argmin(1)
-            value = cost[np.arange(len(j)), i] + longest[j] * n[j + 1] - s[j + 1]
-            better = value < nxt[j]
-            nxt[j[better]], cut[j[better]] = value[better], i[better] + 1
+        todo = [(1, m - 1, 0, m - 2)]  # cells first .. last, whose cuts lie in low .. high
+        while todo:
+            first, last, low, high = todo.pop()
+            if first > last:
+                continue
+            j = (first + last) // 2
+            up = min(high, j - 1)
+            cost = base[low : up + 1] - longest[j] * n[low + 1 : up + 2]
+            i = low + int(cost.argmin())
+            value = cost[i - low] + longest[j] * n[j + 1] - s[j + 1]
+            if value < nxt[j]:
+                nxt[j], cut[j] = value, i + 1
+            todo += [(first, j - 1, low, i), (j + 1, last, i, high)]
         cuts.append(cut)
         best = nxt
     ends, j = [], m
