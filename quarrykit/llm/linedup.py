@@ -13,7 +13,7 @@ at least the threshold; equal lines are the simplest case.
 3.  In a bucket, entries of one token are cut down to one of each distinct token set (its
     first line).  Each entry is paired with the first LEADERS earlier ones that pass the length and
     positional filters; entries with more such predecessors are noted.
-4.  Candidate pairs are verified on full token sets, 40 bits a token.
+4.  Candidate pairs are verified on full token sets, by whole hashes.
 5.  Lines that had more predecessors are paired with all of them, in blocks, and
     verified as well, so every link between distinct token sets is known: a family
     of n near copies has about n * n / 2 of them.  Where only removals are asked for
@@ -128,11 +128,11 @@ def _from_planes(raw: bytes, width: int) -> np.ndarray:
 
 
 #: Fixed value: columns of an entry and their bytes: token, token set, document, line, tokens of the line, place of the token.
-_WIDTHS = {"tok": 4, "cls": 5, "doc": 8, "line": 4, "len": 4, "pos": 4}
+_WIDTHS = {"tok": 4, "cls": 8, "doc": 8, "line": 4, "len": 4, "pos": 4}
 _ROW = pa.schema([("bucket", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("line", pa.int64()), ("pack", pa.binary())])
 _ROW_SQL = "bucket int, h1 long, h2 long, doc long, line long, pack binary"
-#: Bytes of a token hash in a verified set: two tokens of a pair of lines agree by chance once in 2**40.
-_SET_BYTES = 5
+#: Bytes of a token hash in a verified set: the whole hash.
+_SET_BYTES = 8
 
 
 def _entries(docs: DataFrame, rank, percent: int, buckets: int) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+import zstandard
 
 from quarrykit.llm import linedup
 
@@ -50,3 +52,9 @@ def test_links_and_class(spark, seed):
         w = want[-(1 << 63) if i is None else i]
         assert got[i][:3] == w[:3] and got[i][4] == w[4]
         assert i is None or got[i][3] == w[3]
+
+
+def test_sets_that_agree_in_40_bits_are_two():
+    cols = {"tok": [7, 7], "cls": [5, 5 + (1 << 40)], "doc": [1, 2], "line": [0, 0], "len": [3, 3], "pos": [0, 0]}
+    raw = b"".join(linedup._planes(np.array(v, np.uint64), linedup._WIDTHS[c]) for c, v in cols.items())
+    assert len(linedup.Bucket([zstandard.ZstdCompressor().compress(raw)]).tok) == 2
