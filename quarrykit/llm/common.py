@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrykit.session import ship
 
@@ -24,8 +25,8 @@ from quarrykit.session import ship
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that a Python worker turns into numpy arrays at a time.
 CHUNK_BYTES = 1 << 18
-#: Rows up to which a table of narrow rows is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a stored table is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 _BASE = 0x9E3779B97F4A7C55
 _MASK = (1 << 64) - 1
@@ -65,9 +66,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A stored table of narrow rows, marked for broadcast only if a count shows that it is small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _width(name: str, kind: T.DataType) -> Column:
+    """Bytes of a value; those of an array by its length and the fields of an element."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType):
+        fields = len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 1
+        return F.coalesce(F.size(name), F.lit(0)) * (8 + 8 * fields) + 16
+    return F.lit(8)
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A stored table, marked for broadcast only if the sum of its rows' bytes is shown to be small."""
+    size = df.agg(F.sum(sum((_width(f.name, f.dataType) for f in df.schema.fields), F.lit(16)))).first()[0]
+    return F.broadcast(df) if (size or 0) <= most else df
 
 
 def partitions(spark: SparkSession) -> int:

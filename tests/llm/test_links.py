@@ -55,6 +55,23 @@ def test_links_and_class(spark, seed):
 
 
 def test_sets_that_agree_in_40_bits_are_two():
-    cols = {"tok": [7, 7], "cls": [5, 5 + (1 << 40)], "doc": [1, 2], "line": [0, 0], "len": [3, 3], "pos": [0, 0]}
-    raw = b"".join(linedup._planes(np.array(v, np.uint64), linedup._WIDTHS[c]) for c, v in cols.items())
+    values = {"tok": [7, 7], "cls": [5, 5 + (1 << 40)], "len": [3, 3]}
+    raw = b"".join(linedup._planes(np.array(values.get(c, [0, 0]), np.uint64), w) for c, w in linedup._WIDTHS.items())
     assert len(linedup.Bucket([zstandard.ZstdCompressor().compress(raw)]).tok) == 2
+
+
+def test_blocks_of_hot_tokens(spark, monkeypatch):
+    """Groups dealt in many blocks, block against block, give the same links."""
+    rows = family(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(map(repr, linedup.judged(docs).collect()))
+    monkeypatch.setattr(linedup, "HOT", 9)
+    monkeypatch.setattr(linedup, "PAIRS", 50)
+    assert sorted(map(repr, linedup.judged(docs).collect())) == want
+
+
+def test_repeated_ids(spark):
+    """Rows of one doc_id with other texts, and rows that are there twice: lines of one place do not remove each other."""
+    rows = [(1, "a b c d e f g h i j\nk"), (1, "a b c d e f g h i z\nk"), (1, "a b c d e f g h i z\nk"), (2, "a b c d e f g h i y"), (3, "a b c d e f g h i z\na b c d e f g h i j")]
+    got = sorted((r.doc_id, r.n_lines, r.n_removed, r.n_links, r.class_id) for r in linedup.judged(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 6, 0, 0, 1)] * 3 + [(2, 1, 1, 2, 1), (3, 2, 2, 4, 1)]
