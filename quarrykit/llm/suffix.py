@@ -11,11 +11,12 @@ refinement (ranks of 7 bytes, then doubling, sorting again only suffixes that st
 tie), common prefixes of neighbours come from Kasai's algorithm, run for all spans in
 step, and neighbours with LENGTH bytes in common mark both starts.  A key with more than
 SHARD_SPANS spans is split over several shards; their sorted strings, named by
-64-bit hashes, are cut into ranges and merged by binary search range by range, so no
-task grows with the number of spans of a key.
+64-bit hashes within their key, are cut into ranges and merged by binary search range by range, so no
+task grows with the number of spans of a key, and each shard is told once what it shares with others.
 
 Defined cases: null text is empty; texts of fewer bytes than LENGTH have nothing to
-remove; rows that repeat a doc_id are told apart by their texts, and equal rows repeat
+remove; a very long text is worked on whole, by itself, and its groups are spread over shards like those of
+other texts; ties need no order, as every start of a repeated string is marked; rows that repeat a doc_id are told apart by their texts, and equal rows repeat
 each other; a null doc_id is kept as null; an empty table gives an empty result;
 other columns are ignored by `spans` and `digests`.
 """
@@ -323,21 +324,63 @@ def _merged(spans: DataFrame, length: int) -> DataFrame:
 
     def marks(batches):
         schema = pa.schema([("key", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("runs", pa.list_(pa.list_(pa.int64())))])
+        at, held, known = None, [], np.zeros(0, np.uint64)
         for batch in batches:
             out = []
-            for key, c1, c2, n, raw, hit in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
-                names, known = string_names(raw, n, length), np.frombuffer(hit, np.uint64)
-                at = np.minimum(np.searchsorted(known, names), len(known) - 1)
-                runs = _runs(known[at] == names)
-                if runs:
-                    out.append((key, c1, c2, runs))
+            for key, sub, kind, c1, c2, n, raw in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+                if (key, sub) != at:
+                    at, held, known = (key, sub), [], np.zeros(0, np.uint64)
+                if kind == 0:  # the shard's repeated names come before its spans, range by range
+                    held.append(np.frombuffer(raw, np.uint64))
+                    continue
+                if held:
+                    known, held = np.sort(np.concatenate(held)), []
+                if len(known):
+                    names = string_names(raw, n, length)
+                    runs = _runs(known[np.minimum(np.searchsorted(known, names), len(known) - 1)] == names)
+                    if runs:
+                        out.append((key, c1, c2, runs))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     shards = spans.select("key", "sub", "many", "n", "bytes", "subs").repartition("key", "sub").sortWithinPartitions("key", "sub")
     ranges = mapped(shards, cuts, "key long, range long, sub long, names binary").repartition("key", "range").sortWithinPartitions("key", "range")
     found = stored(mapped(ranges, hits, "key long, sub long, hit binary"), "sx-hits")
-    return mapped(spans.join(found, ["key", "sub"]).select("key", "c1", "c2", "n", "bytes", "hit"), marks, "key long, c1 long, c2 long, runs array<array<bigint>>")
+    none = F.lit(None).cast("long")
+    names = found.select("key", "sub", F.lit(0).alias("kind"), none.alias("c1"), none.alias("c2"), F.lit(None).cast("int").alias("n"), F.col("hit").alias("bytes"))
+    # Spans that occur more than once are covered whole already.
+    rest = spans.where("not many").select("key", "sub", F.lit(1).alias("kind"), "c1", "c2", "n", "bytes")
+    return mapped(names.unionByName(rest).repartition("key", "sub").sortWithinPartitions("key", "sub", "kind"), marks, "key long, c1 long, c2 long, runs array<array<bigint>>")
+
+
+def merged_ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Overlapping and touching ranges as one, ascending."""
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    new = np.ones(len(starts), bool)
+    new[1:] = starts[1:] > ends[:-1]
+    return starts[new], ends[np.append(new[1:], True)]
+
+
+def _per_text(hits: DataFrame, length: int) -> DataFrame:
+    """hits (id, tag, s, runs), runs of starts that count from s -> id, tag, spans."""
+    kind = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("spans", pa.list_(kind))])
+
+    def run(batches):
+        for batch in batches:
+            bounds, edges = [], [0]
+            for text in batch.column(2).to_pylist():
+                rows = np.array([(g["s"] + a, g["s"] + b + length) for g in text for a, b in g["runs"]], np.int64)
+                bounds.append(np.stack(merged_ranges(rows[:, 0], rows[:, 1])))
+                edges.append(edges[-1] + bounds[-1].shape[1])
+            if bounds:
+                every = np.concatenate(bounds, 1)
+                ranges = pa.StructArray.from_arrays([pa.array(every[0]), pa.array(every[1])], fields=list(kind))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), ranges, type=schema.field(2).type)], schema=schema)
+
+    grouped = hits.groupBy("id", "tag").agg(F.collect_set(F.struct("s", "runs")).alias("found"))
+    return mapped(grouped, run, "id long, tag long, spans array<struct<a:bigint,b:bigint>>")
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -359,15 +402,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     alone = distinct.where("many").join(per_key, "key", "left_anti").select("key", "c1", "c2", F.array(F.array(F.lit(0).cast("long"), (F.col("n") - 1).cast("long"))).alias("runs"))
     results = local.select("key", "c1", "c2", "runs").unionByName(across).unionByName(alone)
     results = stored(results.groupBy("key", "c1", "c2").agg(F.flatten(F.collect_list("runs")).alias("runs")), "sx-runs")
-    hits = found.join(results, ["key", "c1", "c2"]).select("id", "tag", F.explode(F.transform("runs", lambda r: F.struct((F.col("s") + r[0]).alias("a"), (F.col("s") + r[1] + length).alias("b")))).alias("r"))
-    per_text = hits.groupBy("id", "tag").agg(F.array_sort(F.collect_set("r")).alias("ranges"))
-    # Overlapping and touching ranges become one.
-    merged = F.aggregate(
-        "ranges",
-        F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)"),
-        lambda acc, r: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["b"] >= r["a"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["a"].alias("a"), F.greatest(F.try_element_at(acc, F.lit(-1))["b"], r["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(r))),
-    )
-    return stored(per_text.select("id", "tag", merged.alias("spans")), "sx-spans")
+    return stored(_per_text(found.join(results, ["key", "c1", "c2"]).select("id", "tag", "s", "runs"), length), "sx-spans")
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
