@@ -53,14 +53,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def term_slots(texts: list[bytes]) -> list[np.ndarray]:
-    """The distinct term slots of each text, ascending."""
+    """The distinct term slots of each text, ascending: even ones of words, odd ones of their first bytes."""
     cleaned = [t.translate(_BLANK) for t in texts]
     words = Words(cleaned, lower=True)
     sums = prefix_hash(words.data)
     kinds = [words.hash]
     for n, size in enumerate(STEMS):
         kinds.append(mix(span_hash(sums, words.start, np.minimum(words.end, words.start + size)) + np.uint64(n + 1)))
-    slots = [(mix(h) >> np.uint64(64 - HASH_BITS)).astype(np.int32) for h in kinds]
+    slots = [((mix(h) >> np.uint64(65 - HASH_BITS)).astype(np.int32) << 1) | (i > 0) for i, h in enumerate(kinds)]
     return [np.unique(np.concatenate([k[words.bounds[i] : words.bounds[i + 1]] for k in slots])) for i in range(len(texts))]
 
 
@@ -89,45 +89,57 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
     def logits(self, doc: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        linear = np.bincount(doc, self.weights[at], n)
-        v = self.factors[at]
-        sums = np.stack([np.bincount(doc, v[:, f], n) for f in range(v.shape[1])], 1)
-        square = np.bincount(doc, (v * v).sum(1), n)
+        """Log-odds of n documents and the sums of their factors; doc: ascending."""
+        first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+        own, v = doc[first], self.factors[at]
+        linear, square, sums = np.zeros(n), np.zeros(n), np.zeros((n, v.shape[1]))
+        if len(first):
+            linear[own] = np.add.reduceat(self.weights[at], first)
+            sums[own] = np.add.reduceat(v, first)
+            square[own] = np.add.reduceat(np.einsum("ij,ij->i", v, v), first)
         return self.bias + linear + 0.5 * ((sums * sums).sum(1) - square), sums
 
 
-def beside(rows: list[np.ndarray], labels: np.ndarray, slots: np.ndarray, strong: np.ndarray) -> np.ndarray:
-    """Which slots tell toxic documents from others among those of some strong slot.
+def _divergence(q: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Kullback-Leibler divergence of shares q from s."""
+    tiny = 1e-300
+    return q * np.log(np.maximum(q, tiny) / np.maximum(s, tiny)) + (1 - q) * np.log(np.maximum(1 - q, tiny) / np.maximum(1 - s, tiny))
 
-    A slot's c documents of that kind, t of them toxic, stand out of the share s by Chernoff's
-    bound 2 exp(-c KL(t / c, s)), held under one over the number of pairs.
+
+def beside(own: list[np.ndarray], labels: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Slots that tell toxic documents from others only together: a pair's share of toxic ones is neither slot's own.
+
+    own: each document's slots, by number.  Every pair of a slot in `first` and any other is tallied.  A
+    pair's c documents, t of them toxic, must stand out of the share s of either slot's by Chernoff's
+    bound 2 exp(-c KL(t / c, s)), held under one over the number of pairs.  Neither needs to tell anything by itself.
     """
-    own, pairs = [], []
-    for d, r in enumerate(rows):
-        at = np.minimum(np.searchsorted(slots, r), len(slots) - 1)
-        own.append(at[slots[at] == r].astype(np.int32))
-        held = own[-1][strong[own[-1]]]
-        pairs.append(np.stack([held, np.full(len(held), d, np.int32)]))
-    slot, doc = np.concatenate(pairs, 1)
-    doc = doc[np.argsort(slot, kind="stable")]
-    ends = np.cumsum(np.bincount(slot, minlength=len(slots)))
-    limit, out = np.log(2.0 * strong.sum() * len(slots)), np.zeros(len(slots), bool)
-    for i in np.flatnonzero(strong):
-        docs = doc[ends[i - 1] if i else 0 : ends[i]]
-        share = labels[docs].mean()
-        if not 0 < share < 1:
+    m, out = len(first), np.zeros(len(first), bool)
+    if not len(own) or not first.any():
+        return out
+    lens = np.array([len(x) for x in own])
+    doc = np.repeat(np.arange(len(own), dtype=np.int32), lens)
+    doc = doc[np.argsort(np.concatenate(own), kind="stable")]
+    counts = np.bincount(np.concatenate(own), minlength=m)
+    ends = np.cumsum(counts)
+    limit = np.log(2.0 * first.sum() * m)
+    shares = np.bincount(np.concatenate(own), np.repeat(labels, lens), m) / np.maximum(counts, 1)
+    for i in np.flatnonzero(first):
+        docs = doc[ends[i] - counts[i] : ends[i]]
+        share = shares[i]
+        most = -np.log(min(share, 1 - share)) if 0 < share < 1 else 0.0
+        if len(docs) * most <= limit:  # no pair can stand out
             continue
-        # Counted a few documents at a time, as the driver's memory is small.
-        total = np.zeros((2, len(slots)), np.int32)
+        total = np.zeros((2, m), np.int64)
         for kind in (0, 1):
-            of = docs[labels[docs] == kind]
-            for x in range(0, len(of), 256):
-                total[kind] += np.bincount(np.concatenate([own[d] for d in of[x : x + 256]]), minlength=len(slots)).astype(np.int32)
-        used = np.flatnonzero(total.sum(0) >= MIN_DOCS)
-        c = total[:, used].sum(0)
-        q = total[1, used] / c
-        kl = q * np.log(np.maximum(q, 1e-300) / share) + (1 - q) * np.log(np.maximum(1 - q, 1e-300) / (1 - share))
-        out[used[c * kl > limit]] = True
+            of = docs[labels[docs] == kind].tolist()
+            for x in range(0, len(of), 1024):  # some documents at a time, as the driver's memory is small
+                total[kind] += np.bincount(np.concatenate([own[d] for d in of[x : x + 1024]]), minlength=m)
+        c = total[0] + total[1]
+        used = np.flatnonzero(c * most > limit)
+        c, q = c[used], total[1, used] / c[used]
+        hit = used[(c * np.minimum(_divergence(q, share), _divergence(q, shares[used])) > limit) & (used != i)]
+        out[hit] = True
+        out[i] |= len(hit) > 0
     return out
 
 
@@ -145,18 +157,26 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Machine:
     share = labels.mean()
     strong = np.abs(toxic - counts * share) >= SIGNAL * np.sqrt(counts * share * (1 - share))
     strong, slots = strong[counts >= MIN_DOCS], slots[counts >= MIN_DOCS]
-    if strong.any():
-        strong = strong | beside(rows, labels, slots, strong)
+    own = []
+    for r in rows:
+        at = np.minimum(np.searchsorted(slots, r), len(slots) - 1)
+        own.append(at[slots[at] == r] if len(slots) else at[:0])
+    # Pairs of a strong slot and any other, and all pairs of words.
+    word = np.flatnonzero(slots % 2 == 0)
+    number = np.full(len(slots), -1, np.int64)
+    number[word] = np.arange(len(word))
+    pairs = beside([n[n >= 0] for n in (number[x] for x in own)], labels, np.ones(len(word), bool))
+    strong = strong | beside(own, labels, strong)
+    strong[word[pairs]] = True
     slots = slots[strong]
     if not len(slots):
         return machine
     rng = np.random.default_rng(seed)
     machine.slots, machine.weights = slots, np.zeros(len(slots))
     machine.factors = rng.normal(0, 0.01, (len(slots), FACTORS))
-    own = []
-    for r in rows:
-        at = np.minimum(np.searchsorted(slots, r), len(slots) - 1)
-        own.append(at[slots[at] == r])
+    kept = np.full(len(strong), -1, np.int64)
+    kept[strong] = np.arange(len(slots))
+    own = [n[n >= 0] for n in (kept[x] for x in own)]
     gw, gv, gb = np.full(len(slots), 1e-2), np.full((len(slots), FACTORS), 1e-2), 1e-2
     for _ in range(EPOCHS):
         order = rng.permutation(n)
@@ -169,10 +189,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Machine:
             doc = np.repeat(np.arange(len(batch)), lens)
             z, sums = machine.logits(doc, at, len(batch))
             error = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - labels[batch]) / len(batch)
-            used, back = np.unique(at, return_inverse=True)
-            dw = np.bincount(back, error[doc], len(used)) + DECAY * machine.weights[used]
-            pull = error[doc][:, None] * (sums[doc] - machine.factors[at])
-            dv = np.stack([np.bincount(back, pull[:, f], len(used)) for f in range(FACTORS)], 1) + DECAY * machine.factors[used]
+            every = np.bincount(at, minlength=len(slots))
+            used = np.flatnonzero(every)
+            each = error[doc]
+            dw = np.bincount(at, each, len(slots))[used] + DECAY * machine.weights[used]
+            pull = (each[:, None] * (sums[doc] - machine.factors[at])).T.copy()
+            dv = np.stack([np.bincount(at, p, len(slots))[used] for p in pull], 1) + DECAY * machine.factors[used]
             gw[used] += dw * dw
             gv[used] += dv * dv
             gb += error.sum() ** 2

@@ -58,7 +58,7 @@ def empty(spark):
 
 
 APPLIED = {
-    "quality": quality.measured, "accepted": quality.accepted, "linedup": linedup.judged, "lines": linedup.deduplicated, "pii": pii.report, "packing": packing.packed_documents, "mixing": mixing.assigned,
+    "quality": quality.measured, "accepted": quality.accepted, "linedup": linedup.judged, "lines": linedup.deduplicated, "pii": lambda d: pii.report(d, "k"), "packing": packing.packed_documents, "mixing": mixing.assigned,
     "mixed": mixing.mixed, "sketch": sketch.fingerprinted, "suffix": suffix.digests, "minhash": minhash.clustered, "near": minhash.deduplicated,
 }
 
@@ -141,12 +141,12 @@ def test_linedup(docs, rows):
 def test_pii(spark):
     rows = [(1, "call +1 (988) 555-2485 card 4041894974608795 or 4041-8949-7460-8795, bad 4041894974608796"), (2, "4041 8949 7460 8795 born 2024-02-29, 29.02.2024; ip 70.123.182.155, 999.1.1.1"), (3, None), (4, "GB82WEST12345698765432 a.b@c.org 123-45-6789")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    out = pii.pseudonymised(d).cache()
+    out = pii.pseudonymised(d, "k").cache()
     got = {r.doc_id: r for r in out.collect()}
     cards = [re.sub("[ -]", "", v.value) for r in got.values() for v in r.pii if v.kind == "card"]
     assert len(cards) == 3 and len(set(cards)) == 1 and cards[0] != "4041894974608795"
     assert "4041894974608796" in got[1].text and "999.1.1.1" in got[2].text and got[3].text is None
-    back = {r.doc_id: r.text for r in pii.pseudonymised(out.select("doc_id", "text"), inverse=True).collect()}
+    back = {r.doc_id: r.text for r in pii.pseudonymised(out.select("doc_id", "text"), "k", inverse=True).collect()}
     assert back == dict(rows)
 
 
@@ -203,7 +203,7 @@ def test_sketch(docs, rows):
         assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
     assert got[rows[6][0]].fingerprint == got[rows[7][0]].fingerprint and got[rows[6][0]].near_next == 1.0
     a, b = got[rows[6][0]].fingerprint, got[rows[10][0]].fingerprint
-    assert set(sketch.merge([a, b]).tolist()) == set(sketch.decode(a)[1].tolist()) | set(sketch.decode(b)[1].tolist())
+    assert set(sketch.merge([a, b]).tolist()) == set(sketch.decode(a).kept.tolist()) | set(sketch.decode(b).kept.tolist())
 
 
 @pytest.mark.parametrize("shard", [2, 1024])

@@ -31,7 +31,7 @@ def shape(value, kind):
 
 @pytest.fixture(scope="module")
 def out(spark):
-    return pii.pseudonymised(spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "doc_id long, text string")).collect()
+    return pii.pseudonymised(spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "doc_id long, text string"), "k").collect()
 
 
 @pytest.mark.parametrize("i", range(len(CASES)))
@@ -47,5 +47,5 @@ def test_value_beside_numbers(out, i):
 
 def test_what_fails_stays(spark):
     texts = ["4041 8949 7460 8796", "999.1.1.1", "DE88 3704 0044 0532 0130 00", "v1.2.3.4.5", "2023-02-30", "000-12-3456", "x4111111111111111"]
-    rows = pii.pseudonymised(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    rows = pii.pseudonymised(spark.createDataFrame([(t,) for t in texts], "text string"), "k").collect()
     assert sorted(r.text for r in rows) == sorted(texts) and all(r.pii == [] for r in rows)
