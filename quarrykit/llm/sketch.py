@@ -1,12 +1,16 @@
 """Threshold-scaled sketches: every shingle hash below a fixed fraction of the range is kept.
 
 Shingles are SHINGLE_BYTES-byte windows of the UTF-8 text (a shorter text is one
-shingle).  Since the threshold is fixed, sketches of parts merge by union, the kept
+shingle), hashed to 40 bits.  Since the threshold is fixed, sketches of parts merge by union, the kept
 hashes of a subset are a subset, and containment is estimated without bias however
-different two documents' lengths are.  A fingerprint is the sorted kept hashes, eight
-hexadecimal digits each, after the 16-digit hash of the text's whole shingle set, so
-equal texts have equal fingerprints and texts too short to keep a hash still
-compare exactly.
+different two documents' lengths are.  A text with fewer than LEAST kept hashes also has
+its next smallest ones, up to LEAST in all: two sketches are compared over the range that both know
+whole, which is the threshold's for long texts, wider for short ones, and everything for texts of
+at most LEAST shingles, which compare exactly.
+
+A fingerprint is the 16-digit hash of the text's whole shingle set, so equal texts have equal fingerprints,
+the number of kept hashes below the threshold, a mark whether these are all shingles, and the hashes,
+five bytes each, in base 64: about 7 / 128 of the text's length, and at most 180 characters for a short one.
 
 `neighbours` pairs every document with the next one by doc_id without a global
 window: rows are dealt to ranges of doc_id, each range also gets the first row of the next
@@ -14,13 +18,15 @@ range, and a task walks its ranges in order.
 
 Defined cases: null text is empty; the empty text has no shingle, its likeness is 1
 to another empty text and 0 to any other; rows that repeat a doc_id follow each other by text; a null doc_id comes
-first; the only row of a table is its own next document; an empty table gives an
+first; the only row of a table is its own next document; a very long text is sketched whole, by itself; an empty table gives an
 empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +37,39 @@ from quarrykit.llm.common import CHUNK_BYTES, digest, mapped, partitions, prefix
 
 SHINGLE_BYTES = 16
 #: One shingle hash in FRACTION is kept.
-FRACTION = 8
+FRACTION = 128
+#: Hashes that a text of as many shingles has at least.
+LEAST = 24
+_BITS = 40
+_LIMIT = (1 << _BITS) // FRACTION
+
+
+@dataclass(frozen=True)
+class Sketch:
+    """name: hash of the shingle set; kept: its hashes below the threshold; more: the next smallest ones; whole: there are no others."""
+
+    name: int
+    kept: np.ndarray
+    more: np.ndarray
+    whole: bool
 
+    @property
+    def known(self) -> int:
+        """All the text's hashes below this bound are in the sketch."""
+        return 1 << _BITS if self.whole else max(_LIMIT, int(self.more[-1]) + 1 if len(self.more) else 0)
 
-def _kept(texts: list[bytes]) -> list[tuple[int, np.ndarray]]:
-    """(hash of the shingle set, sorted kept hashes) of each text."""
+    def below(self, bound: int) -> np.ndarray:
+        every = np.concatenate((self.kept, self.more))
+        return every[: np.searchsorted(every, np.uint64(bound))]
+
+
+def _kept(texts: list[bytes]) -> list[Sketch]:
     data = np.frombuffer(b"".join(texts), np.uint8)
     sums = prefix_hash(data)
     out, at = [], 0
     ends = np.cumsum([len(t) for t in texts])
     starts = np.arange(max(0, len(data) - SHINGLE_BYTES + 1))
     every = span_hash(sums, starts, starts + SHINGLE_BYTES) if len(starts) else np.zeros(0, np.uint64)
-    limit = np.uint64((1 << 64) // FRACTION - 1)
     for end in ends.tolist():
         if end - at >= SHINGLE_BYTES:
             own = every[at : end - SHINGLE_BYTES + 1]
@@ -50,40 +77,60 @@ def _kept(texts: list[bytes]) -> list[tuple[int, np.ndarray]]:
             own = span_hash(sums, np.array([at]), np.array([end]))
         else:
             own = np.zeros(0, np.uint64)
-        low = np.unique(own[own <= limit])
         # Equal texts only need to agree, so the order of shingles may count.
-        out.append((digest(own)[0] & 0xFFFFFFFFFFFFFFFF if len(own) else 0, np.unique((low >> np.uint64(29)).astype(np.uint32))))
+        name = digest(own)[0] & 0xFFFFFFFFFFFFFFFF if len(own) else 0
+        own = own >> np.uint64(64 - _BITS)
+        low = np.unique(own[own < _LIMIT])
+        more, whole = low[:0], False
+        if len(low) < LEAST:
+            least = np.unique(own)
+            low, more, whole = least[: len(low)], least[len(low) : LEAST], len(least) <= LEAST
+        out.append(Sketch(name, low, more, whole))
         at = end
     return out
 
 
-def encode(kept: tuple[int, np.ndarray]) -> str:
-    return f"{kept[0]:016x}" + kept[1].astype(">u4").tobytes().hex()
+def encode(s: Sketch) -> str:
+    every = np.concatenate((s.kept, s.more)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
+    return f"{s.name:016x}{len(s.kept):x}{'=' if s.whole else '+'}{base64.b64encode(every.tobytes()).decode()}"
 
 
-def decode(fingerprint: str) -> tuple[int, np.ndarray]:
-    return int(fingerprint[:16], 16), np.frombuffer(bytes.fromhex(fingerprint[16:]), ">u4").astype(np.uint32)
+def decode(fingerprint: str) -> Sketch:
+    count = 16
+    while fingerprint[count] not in "=+":
+        count += 1
+    raw = np.frombuffer(base64.b64decode(fingerprint[count + 1 :]), np.uint8).reshape(-1, 5)
+    every = np.zeros((len(raw), 8), np.uint8)
+    every[:, 3:] = raw
+    every, n = every.view(">u8").ravel().astype(np.uint64), int(fingerprint[16:count], 16)
+    return Sketch(int(fingerprint[:16], 16), every[:n], every[n:], fingerprint[count] == "=")
 
 
 def merge(fingerprints: list[str]) -> np.ndarray:
-    """The sketch of the union of documents."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint32), *(decode(f)[1] for f in fingerprints)]))
+    """The threshold's sketch of the union of documents."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(decode(f).kept for f in fingerprints)]))
+
+
+def _both(a: Sketch, b: Sketch) -> tuple[int, int, int]:
+    bound = min(a.known, b.known)
+    x, y = a.below(bound), b.below(bound)
+    return len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)
 
 
-def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
+def likeness(a: Sketch, b: Sketch) -> float:
     """Estimated Jaccard likeness of the shingle sets."""
-    if a[0] == b[0]:
+    if a.name == b.name:
         return 1.0
-    common = len(np.intersect1d(a[1], b[1], assume_unique=True))
-    union = len(a[1]) + len(b[1]) - common
-    return common / union if union else 0.0
+    common, m, n = _both(a, b)
+    return common / (m + n - common) if m + n else 0.0
 
 
-def containment(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
+def containment(a: Sketch, b: Sketch) -> float:
     """Estimated share of a's shingles that b has."""
-    if a[0] == b[0]:
+    if a.name == b.name:
         return 1.0
-    return len(np.intersect1d(a[1], b[1], assume_unique=True)) / len(a[1]) if len(a[1]) else 0.0
+    common, m, _ = _both(a, b)
+    return common / m if m else 0.0
 
 
 def edited(text: str, following: str) -> str:
