@@ -19,24 +19,29 @@ kind    accepted                                              permuted
 card    13 to 19 digits, single spaces or dashes, Luhn         all digits; the last is computed
 iban    country, two check digits, 11 to 30 more, in one or in groups of four, modulo 97    what follows; check digits are computed
 ssn     3-2-4 digits in issued ranges                          the three numbers
-date    Y-M-D, D.M.Y, M/D/Y (D/M/Y if only that is a date), 1904 to 2099    the day, within 1904 to 2099
+date    Y-M-D, D.M.Y, M/D/Y (D/M/Y if only that is a date), years 1000 to 2999    the day; 1904 to 2099 stay among themselves
 ip      four octets                                           the octets
 phone   ten digits of the American plan, or + and 8 to 15     national digits; all but the first three
 email   local@domain                                          letters and digits of the local part
 
+The keyed hash is HMAC-SHA-256.  The key has no default: who calls gives it, from where the site keeps its secrets.  Spark shows
+literals in plans, so event logs of such jobs are to be kept as safe as the key.
+
 Defined cases: null text stays null, with count 0; values that fail validation stay;
-repeated rows are treated alike; an empty table gives an empty result; a null doc_id is kept; other columns
-are not touched.
+repeated rows are treated alike, and of values that start alike the first in the order above is taken; a very long text is one
+row's work and is rewritten whole; an empty table gives an empty result; a null doc_id is kept; other columns
+are not touched, and where docs has a column `pii` the new one is `pii_`, with as many underscores as it takes.  An
+address with octets that begin with 0 comes back with three digits in each octet.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: Production takes the key as a parameter; this one is for queries over test tables.
-KEY = "quarrykit-test-key"
 KINDS = ("card", "iban", "ssn", "date", "ip", "phone", "email")
 
 #: The patterns of the kinds, in the order in which they are tried. All but email begin with BEFORE.
@@ -80,6 +85,14 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def keyed(message: Column, key: str) -> Column:
+    """HMAC-SHA-256 of a string under the key, in hex."""
+    raw = key.encode("utf-8")
+    block = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ x for b in block)) for x in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
+
+
 def feistel(symbols: Column, radices: Column, key: str, kind: str, inverse: bool = False) -> Column:
     """The symbols (0 up to their radix) after the keyed rounds; the same radices give a permutation."""
     half = F.floor(F.size(symbols) / 2).cast("int")
@@ -90,11 +103,11 @@ def feistel(symbols: Column, radices: Column, key: str, kind: str, inverse: bool
     start = F.struct(left.alias("l"), right.alias("r"))
 
     def shifted(own: Column, other: Column, offset: Column, i: Column) -> Column:
-        seed = F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), n.cast("string"), F.array_join(F.transform(other, lambda x: x.cast("string")), ","))
+        seed = F.concat_ws("|", F.lit(kind), i.cast("string"), n.cast("string"), F.array_join(F.transform(other, lambda x: x.cast("string")), ","))
 
         def one(x: Column, j: Column) -> Column:
             radix = F.element_at(radices, j + offset + 1)
-            f = F.conv(F.substring(F.sha2(F.concat_ws("|", seed, j.cast("string")), 256), 1, 12), 16, 10).cast("long")
+            f = F.conv(F.substring(keyed(F.concat_ws("|", seed, j.cast("string")), key), 1, 12), 16, 10).cast("long")
             return F.pmod(x - F.pmod(f, radix) if inverse else x + F.pmod(f, radix), radix).cast("int")
 
         return F.transform(own, one)
@@ -205,18 +218,25 @@ def _date(m: Column, key: str, inverse: bool) -> Column:
     dmy, mdy = as_date(F.get(p, 2), F.get(p, 1), F.get(p, 0)), as_date(F.get(p, 2), F.get(p, 0), F.get(p, 1))
     day_first = F.when(sep == ".", F.lit(True)).otherwise(mdy.isNull())
     day = F.when(iso, as_date(F.get(p, 0), F.get(p, 1), F.get(p, 2))).when(day_first, dmy).otherwise(mdy)
-    first = F.lit("1904-01-01").cast("date")
+    earliest, first = (F.lit(x).cast("date") for x in ("1000-01-01", "1904-01-01"))
 
     def shown(x: Column) -> Column:
         part = lambda p: F.date_format(x["new"], p)
         joined = lambda *p: F.concat(part(p[0]), sep, part(p[1]), sep, part(p[2]))
         return F.when(iso, part("yyyy-MM-dd")).when(x["day_first"], joined("dd", "MM", "yyyy")).otherwise(joined("MM", "dd", "yyyy"))
 
+    def moved(n: Column, radix: int, other: int, kind: str) -> Column:
+        symbols = F.array(F.floor(n / other).cast("int"), F.pmod(n, F.lit(other)))
+        return let(feistel(symbols, F.array(F.lit(radix), F.lit(other)), key, kind, inverse), lambda v: v[0] * other + v[1])
+
     def made(x: Column) -> Column:
-        # 49 spans of 1461 days, which factors as 147 x 487.
-        symbols = F.array(F.floor(x["n"] / 487).cast("int"), F.pmod(x["n"], F.lit(487)))
-        new = let(feistel(symbols, F.array(F.lit(147), F.lit(487)), key, "date", inverse), lambda v: F.date_add(first, v[0] * 487 + v[1]))
-        return F.when(x["n"].between(0, 147 * 487 - 1), let(F.struct(new.alias("new"), x["day_first"].alias("day_first")), shown))
+        # 1904 to 2099 has 49 spans of 1461 days, 147 x 487 in all; 1000 to 2999 has 730485, so the others are 848 x 777.
+        usual, before = 147 * 487, F.datediff(first, earliest)
+        near = F.date_add(first, moved(x["n"], 147, 487, "date"))
+        rest = F.when(x["n"] < 0, x["n"] + before).otherwise(x["n"] + before - usual)
+        far = let(moved(rest, 848, 777, "far date"), lambda v: F.date_add(earliest, F.when(v < before, v).otherwise(v + usual)))
+        new = F.when(x["n"].between(0, usual - 1), near).otherwise(far)
+        return F.when(x["n"].isNotNull(), let(F.struct(new.alias("new"), x["day_first"].alias("day_first")), shown))
 
     return let(F.struct(F.datediff(day, first).alias("n"), day_first.alias("day_first")), made)
 
@@ -224,7 +244,9 @@ def _date(m: Column, key: str, inverse: bool) -> Column:
 def _ip(m: Column, key: str, inverse: bool) -> Column:
     octets = F.transform(F.split(m, r"\."), _number)
     ok = F.forall(octets, lambda x: x <= 255)
-    return F.when(ok, F.array_join(feistel(octets, F.array_repeat(F.lit(256), 4), key, "ip", inverse), "."))
+    padded = m.rlike(r"(^|\.)0[0-9]")
+    shown = F.transform(feistel(octets, F.array_repeat(F.lit(256), 4), key, "ip", inverse), lambda x: F.when(padded, F.lpad(x.cast("string"), 3, "0")).otherwise(x.cast("string")))
+    return F.when(ok, F.array_join(shown, "."))
 
 
 def _american(m: Column) -> Column:
@@ -254,7 +276,7 @@ def _email(m: Column, key: str, inverse: bool) -> Column:
 _MAKERS = {"card": _card, "iban": _iban, "ssn": _ssn, "date": _date, "ip": _ip, "phone": _phone, "email": _email}
 
 
-def pseudonym(match: Column, key: str = KEY, kinds: tuple[str, ...] = KINDS, inverse: bool = False) -> Column:
+def pseudonym(match: Column, key: str, kinds: tuple[str, ...] = KINDS, inverse: bool = False) -> Column:
     """(kind, value) of a string found by the kinds' patterns; kind is null if it fails validation."""
     nothing = F.struct(F.lit(None).cast("string").alias("kind"), match.alias("value"))
     out = nothing
@@ -303,20 +325,24 @@ def _quoted(v: Column) -> Column:
     return F.concat(side(0), F.lit("\\Q"), v["match"], F.lit("\\E"), side(1))
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, kinds: tuple[str, ...] = KINDS, inverse: bool = False) -> DataFrame:
-    """docs with text rewritten, and a column `pii`: an array of (kind, value), value being the pseudonym."""
+def pseudonymised(docs: DataFrame, key: str, kinds: tuple[str, ...] = KINDS, inverse: bool = False) -> DataFrame:
+    """docs with text rewritten, and a last column `pii` (or `pii_` and so on): an array of (kind, value), value being the pseudonym."""
+    name = "pii"
+    while name in docs.columns:
+        name += "_"
     known = docs.withColumn("__pii_known", F.when(F.col("text").rlike("[0-9]|@"), values(F.col("text"), key, kinds, inverse)))
     found = known.withColumn("__pii_at", F.when(F.size("__pii_known") > 0, F.array_join(F.transform("__pii_known", _quoted), "|")))
     found = found.withColumn("__pii_match", F.regexp_extract_all("text", F.col("__pii_at"), F.lit(0)))
     of = lambda m: let(F.filter("__pii_known", lambda v: v["match"] == m), lambda v: F.struct(v[0]["kind"].alias("kind"), v[0]["value"].alias("value")))
-    made = found.withColumn("pii", F.transform("__pii_match", of))
+    made = found.withColumn("__pii", F.transform("__pii_match", of))
     gaps = F.split(F.col("text"), F.col("__pii_at"), -1)
-    joined = F.array_join(F.zip_with(gaps, F.col("pii"), lambda g, v: F.concat(g, F.coalesce(v["value"], F.lit("")))), "")
+    joined = F.array_join(F.zip_with(gaps, F.col("__pii"), lambda g, v: F.concat(g, F.coalesce(v["value"], F.lit("")))), "")
     text = F.when(F.size("__pii_match") > 0, joined).otherwise(F.col("text"))
-    return made.withColumn("text", text).withColumn("pii", F.coalesce("pii", F.expr("cast(array() as array<struct<kind:string,value:string>>)"))).drop("__pii_known", "__pii_at", "__pii_match")
+    none = F.expr("cast(array() as array<struct<kind:string,value:string>>)")
+    return made.withColumn("text", text).withColumn(name, F.coalesce("__pii", none)).drop("__pii", "__pii_known", "__pii_at", "__pii_match")
 
 
-def report(docs: DataFrame, key: str = KEY, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+def report(docs: DataFrame, key: str, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """doc_id, n_<kind> of each kind, n_pii, pseudonyms (as found, separated by |), text of every row of docs (doc_id, text)."""
     out = pseudonymised(docs.select("doc_id", "text"), key, kinds)
     count = lambda k: F.size(F.filter("pii", lambda v: v["kind"] == k)).cast("long").alias(f"n_{k}")

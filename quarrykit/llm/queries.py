@@ -10,6 +10,10 @@ from quarrykit.llm import chat, linedup, minhash, mixing, packing, pii, quality,
 from quarrykit.llm.common import WORD, table
 
 
+#: The key of pseudonyms of test tables; it protects nothing.
+TEST_KEY = "quarrykit-test-key"
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(table(spark, sf_dir, "documents"))
 
@@ -30,7 +34,7 @@ def op4_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents"))
+    return pii.report(table(spark, sf_dir, "documents"), TEST_KEY)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
