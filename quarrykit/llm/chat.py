@@ -2,11 +2,13 @@
 
 A template is any function from a list of (role, text) turns to a string.  Nothing
 is assumed about its markup: the prefixes of a conversation are rendered one turn
-longer each time, consecutive outputs are compared, and what a turn adds is its
-span.  Two probe renderings of each turn, with one-letter texts that differ, show
-where inside the span the text stands.  A template whose longer output does not
-begin with its shorter one rewrites history; it is reported, and its spans are those of the rendering in
-which the turn was last.
+longer each time, and consecutive outputs are compared: where the longer one first differs from the shorter one begins what the
+turn adds, its *piece*.  A piece is compared with that of the same turn with one character as its text, which
+does not occur in the output, and where they part and meet again the text stands.
+
+A longer output that does not begin with the shorter one rewrites history.  The turn is reported, and as spans of
+the shorter output say nothing of the longer one, all turns' texts are then found anew in the last output, each by
+comparing it with the whole conversation with that turn's text replaced.  What a template leaves of a text is its span.
 
 `turn_template` escapes what could be taken for markup, so its output can be read
 back (`read_back`) whatever the texts hold.
@@ -14,7 +16,7 @@ back (`read_back`) whatever the texts hold.
 Defined cases: null text and null role are empty; turns are taken by turn, ties by
 role and then text; repeated rows are turns of their own; rows with a null conv_id
 form one conversation with a null id; an empty table gives an empty result; other columns are
-ignored.  A task holds one conversation at a time.
+ignored.  A task holds one conversation at a time, however long; a conversation of n turns is rendered 2 n times, as a black box needs it.
 """
 
 from __future__ import annotations
@@ -68,22 +70,39 @@ def read_back(formatted: str) -> list[Turn]:
     return out
 
 
+def _unused(text: str) -> str:
+    """A character of a private area that the text does not have."""
+    return next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in text)
+
+
 class Rendered:
-    """formatted; spans [start, end) of each turn's text; rewrites: the turns that changed what stood before them."""
+    """formatted; pieces [start, end) that the turns added, None for those whose piece a later turn rewrote; spans [start, end) of
+    the turns' texts in formatted; rewrites: the turns that changed what stood before them."""
 
     def __init__(self, turns: list[Turn], template: Template = turn_template):
+        self.pieces: list[tuple[int, int] | None] = []
         self.spans: list[tuple[int, int]] = []
         self.rewrites: list[int] = []
         before = template([])
-        for i in range(len(turns)):
-            head, (role, _) = turns[:i], turns[i]
-            now, a, b = template(turns[: i + 1]), template([*head, (role, "a")]), template([*head, (role, "b")])
-            start = _first_difference(a, b)
-            if not now.startswith(before):
+        for i, (role, _) in enumerate(turns):
+            now = template(turns[: i + 1])
+            start = _first_difference(before, now)
+            if start < len(before):
                 self.rewrites.append(i)
-            self.spans.append((start, len(now) - (len(a) - start - 1)))
+                self.pieces = [p if p and p[1] <= start else None for p in self.pieces]
+            self.pieces.append((start, len(now)))
+            self.spans.append(self._text(now, template([*turns[:i], (role, mark := _unused(now))]), mark, start))
             before = now
         self.formatted = before
+        for i in range(self.rewrites[-1] if self.rewrites else 0):
+            mark, (role, _) = _unused(before), turns[i]
+            self.spans[i] = self._text(before, template([*turns[:i], (role, mark), *turns[i + 1 :]]), mark, 0)
+
+    @staticmethod
+    def _text(now: str, probe: str, mark: str, start: int) -> tuple[int, int]:
+        """Where the text stands in now that probe has as mark; at or after start. An empty span if the probe does not show it."""
+        at = probe.find(mark, start)
+        return (at, max(at, len(now) - (len(probe) - at - 1))) if at >= 0 else (len(now), len(now))
 
     def masked(self, turns: list[Turn], role: str = "assistant") -> list[str]:
         """The formatted text under the loss mask, a string for each turn of the role."""
