@@ -7,8 +7,8 @@ The best last cuts of longer and longer prefixes never go back, so they are foun
 numbered there, so no bucket meets in one task; a group leaves one batch part full at most.
 
 Defined cases: null and empty texts have length 0 and go to the first bucket; a
-document longer than the budget is a batch of its own; repeated rows stay separate
-rows; an empty table gives an empty result.
+document longer than the budget (a very long text) is a batch of its own; ties of length share a cell; repeated rows stay separate
+rows; rows of one doc_id, null included, are numbered in one group of their bucket; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -225,7 +225,8 @@ def _span_bytes(rows: DataFrame, distinct: DataFrame, length: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    joined = rows.join(small(listed), _ID).select("text", "spans")
+    # Not broadcast, however few spans there are: texts are dealt by a shuffle at every size.
+    joined = rows.join(listed, _ID).select("text", "spans")
     return mapped(joined, run, "key long, sub long, c1 long, c2 long, many boolean, n int, bytes binary")
 
 
