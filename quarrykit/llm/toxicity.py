@@ -100,6 +100,33 @@ class Machine:
         return self.bias + linear + 0.5 * ((sums * sums).sum(1) - square), sums
 
 
+def _pieces(rows: list[np.ndarray], size: int = 1024):
+    """(first row, values) of some rows at a time, as the driver's memory is small."""
+    for a in range(0, len(rows), size):
+        yield a, np.concatenate(rows[a : a + size])
+
+
+def tally(rows: list[np.ndarray], m: int) -> np.ndarray:
+    """How often the rows have each value below m."""
+    out = np.zeros(m, np.int64)
+    for _, values in _pieces(rows):
+        out += np.bincount(values, minlength=m)
+    return out
+
+
+def _documents(rows: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
+    """The numbers of the rows that have each value, value by value."""
+    out, at = np.empty(int(counts.sum()), np.int32), np.cumsum(counts) - counts
+    for a, values in _pieces(rows):
+        row = np.repeat(np.arange(a, a + min(1024, len(rows) - a), dtype=np.int32), [len(r) for r in rows[a : a + 1024]])
+        order = np.argsort(values, kind="stable")
+        each = np.bincount(values, minlength=len(counts))
+        rank = np.arange(len(values)) - np.repeat(np.cumsum(each) - each, each)
+        out[at[values[order]] + rank] = row[order]
+        at += each
+    return out
+
+
 def _divergence(q: np.ndarray, s: np.ndarray) -> np.ndarray:
     """Kullback-Leibler divergence of shares q from s."""
     tiny = 1e-300
@@ -114,26 +141,19 @@ def beside(own: list[np.ndarray], labels: np.ndarray, first: np.ndarray) -> np.n
     bound 2 exp(-c KL(t / c, s)), held under one over the number of pairs.  Neither needs to tell anything by itself.
     """
     m, out = len(first), np.zeros(len(first), bool)
-    if not len(own) or not first.any():
-        return out
-    lens = np.array([len(x) for x in own])
-    doc = np.repeat(np.arange(len(own), dtype=np.int32), lens)
-    doc = doc[np.argsort(np.concatenate(own), kind="stable")]
-    counts = np.bincount(np.concatenate(own), minlength=m)
-    ends = np.cumsum(counts)
-    limit = np.log(2.0 * first.sum() * m)
-    shares = np.bincount(np.concatenate(own), np.repeat(labels, lens), m) / np.maximum(counts, 1)
+    counts = tally(own, m)
+    limit = np.log(2.0 * first.sum() * m) if first.any() else np.inf
+    shares = tally([x for x, y in zip(own, labels, strict=True) if y], m) / np.maximum(counts, 1)
+    doc, ends = _documents(own, counts), np.cumsum(counts)
     for i in np.flatnonzero(first):
         docs = doc[ends[i] - counts[i] : ends[i]]
         share = shares[i]
         most = -np.log(min(share, 1 - share)) if 0 < share < 1 else 0.0
         if len(docs) * most <= limit:  # no pair can stand out
             continue
-        total = np.zeros((2, m), np.int64)
+        total = np.empty((2, m), np.int64)
         for kind in (0, 1):
-            of = docs[labels[docs] == kind].tolist()
-            for x in range(0, len(of), 1024):  # some documents at a time, as the driver's memory is small
-                total[kind] += np.bincount(np.concatenate([own[d] for d in of[x : x + 1024]]), minlength=m)
+            total[kind] = tally([own[d] for d in docs[labels[docs] == kind].tolist()], m)
         c = total[0] + total[1]
         used = np.flatnonzero(c * most > limit)
         c, q = c[used], total[1, used] / c[used]
@@ -150,21 +170,18 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Machine:
     machine = Machine(np.zeros(0, np.int32), float(np.log(prior / (1 - prior))), np.zeros(0), np.zeros((0, FACTORS)))
     if n == 0 or labels.min() == labels.max():
         return machine
-    flat = np.concatenate(rows)
-    slots, counts = np.unique(flat, return_counts=True)
-    toxic = np.bincount(np.searchsorted(slots, flat), np.repeat(labels, [len(r) for r in rows]), len(slots))
-    del flat
+    every = tally(rows, 1 << HASH_BITS)
+    slots = np.flatnonzero(every >= MIN_DOCS)
+    counts, toxic = every[slots], tally([r for r, y in zip(rows, labels, strict=True) if y], 1 << HASH_BITS)[slots]
     share = labels.mean()
     strong = np.abs(toxic - counts * share) >= SIGNAL * np.sqrt(counts * share * (1 - share))
-    strong, slots = strong[counts >= MIN_DOCS], slots[counts >= MIN_DOCS]
-    own = []
-    for r in rows:
-        at = np.minimum(np.searchsorted(slots, r), len(slots) - 1)
-        own.append(at[slots[at] == r] if len(slots) else at[:0])
+    number = np.full(1 << HASH_BITS, -1, np.int32)
+    number[slots] = np.arange(len(slots), dtype=np.int32)
+    own = [n[n >= 0] for n in (number[r] for r in rows)]
     # Pairs of a strong slot and any other, and all pairs of words.
     word = np.flatnonzero(slots % 2 == 0)
-    number = np.full(len(slots), -1, np.int64)
-    number[word] = np.arange(len(word))
+    number = np.full(len(slots), -1, np.int32)
+    number[word] = np.arange(len(word), dtype=np.int32)
     pairs = beside([n[n >= 0] for n in (number[x] for x in own)], labels, np.ones(len(word), bool))
     strong = strong | beside(own, labels, strong)
     strong[word[pairs]] = True
