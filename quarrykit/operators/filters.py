@@ -41,18 +41,44 @@ def caption_filter(captions: DataFrame) -> DataFrame:
     return captions.where((F.col("lang") == "en") & text.long_enough(c, 1, 5))
 
 
+#: Bins of a round of the search for a rank.
+RANK_BINS = 256
+
+
+def _at_rank(values: DataFrame, n: int) -> tuple | None:
+    """(value, rows above it, rows with it) at position n from the top, of a column v without nulls; None if there are fewer rows.
+
+    Quantiles cut the range into bins, whose counts say which one holds the position; that
+    bin is cut again until it is one value.  No task sorts values, and the driver gets RANK_BINS counts a round.
+    """
+    above = 0
+    while True:
+        least, most, cuts = values.agg(F.min("v"), F.max("v"), F.percentile_approx("v", [i / RANK_BINS for i in range(1, RANK_BINS)], 10_000)).first()
+        if least is None:
+            return None
+        # The least and the largest value are bins of their own, so what lies between shrinks whatever the ties.
+        edges = F.array(*map(F.lit, sorted({least, *cuts})))
+        number = F.when(F.col("v") == most, RANK_BINS + 1).otherwise(F.size(F.filter(edges, lambda e: e < F.col("v"))))
+        bins = values.groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+        for r in sorted(bins, key=lambda r: -r["bin"]):
+            if above + r["n"] > n:
+                break
+            above += r["n"]
+        else:
+            return None
+        if r["low"] == r["high"]:
+            return r["low"], above, r["n"]
+        values = values.where(F.col("v").between(r["low"], r["high"]))
+
+
 def top_fraction_threshold(table: DataFrame, score: str, fraction: float) -> DataFrame:
-    """One row, `threshold`: the score at position int(N * fraction) from the top, NaN and null last.
+    """One row, `threshold`: the score at position int(N * fraction) from the top, NaN and null last; null if these are all.
 
-    A later >= keeps that position as well, so at least n + 1 rows.  Distributed: the
-    distinct values' counts decide, not a sort of all rows in one task.
+    A later >= keeps that position as well, so at least n + 1 rows.
     """
-    ok = F.col(score).isNotNull() & ~F.isnan(score)
-    total = table.count()
-    n = int(total * fraction)
-    counts = table.where(ok).groupBy(F.col(score).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    running = counts.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("v"))))
-    return running.where(F.col("upto") > n).agg(F.max("v").alias("threshold"))
+    values = table.where(F.col(score).isNotNull() & ~F.isnan(score)).select(F.col(score).alias("v"))
+    found = _at_rank(values, int(table.count() * fraction))
+    return table.sparkSession.range(1).select(F.lit(found[0] if found else None).cast(table.schema[score].dataType).alias("threshold"))
 
 
 def by_threshold(table: DataFrame, score: str, threshold: float) -> DataFrame:
@@ -74,12 +100,11 @@ def by_score_text(table: DataFrame, score: str, threshold: int, need_success: bo
 def text_threshold_and_share(table: DataFrame, score: str, fraction: float) -> DataFrame:
     """Threshold, ties, above, prob: what share of the rows at the threshold completes the fraction of integer scores."""
     ints = table.select(scores.as_integer(F.col(score)).alias("v")).where("v is not null")
-    total = ints.count()
-    n = int(total * fraction)
-    counts = ints.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    running = counts.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("v"))))
-    at = running.where(F.col("upto") > n).orderBy(F.desc("v")).limit(1)
-    return at.select(F.col("v").alias("threshold"), (F.col("upto") - F.col("n")).alias("above"), F.col("n").alias("ties"), ((F.lit(n) - (F.col("upto") - F.col("n"))) / F.col("n")).alias("prob"))
+    n = int(ints.count() * fraction)
+    value, above, ties = _at_rank(ints, n) or (None, None, None)
+    kind = ints.schema["v"].dataType
+    row = table.sparkSession.range(1 if ties else 0)
+    return row.select(F.lit(value).cast(kind).alias("threshold"), F.lit(above).cast("long").alias("above"), F.lit(ties).cast("long").alias("ties"), F.lit((n - above) / ties if ties else None).cast("double").alias("prob"))
 
 
 def by_text_fraction(table: DataFrame, score: str, fraction: float, seed: int = 42) -> DataFrame:
@@ -127,7 +152,7 @@ FILTERS: dict[str, Filter] = {
     "laion2b": lambda t, **_: by_threshold(t, "clip_b32_similarity_score", 0.28).where(F.col("lang") == "en"),
     "clip_score": lambda t, **o: by_threshold(t, o["score"], o["threshold"]) if o.get("threshold") is not None else by_fraction(t, o["score"], o["fraction"]),
     **{
-        f"{m}_score": (lambda s: lambda t, **o: by_score_text(t, s, o["threshold"]) if o.get("threshold") else by_text_fraction(t, s, o["fraction"]))(f"{m}_score")
+        f"{m}_score": (lambda s: lambda t, **o: by_score_text(t, s, o["threshold"]) if o.get("threshold") is not None else by_text_fraction(t, s, o["fraction"]))(f"{m}_score")
         for m in ("image_text_matching", "object_detail_fulfillment", "caption_text_quality", "semantic_understanding")
     },
     **{m: (lambda s: lambda t, **o: by_quality(t, s, o["threshold"], o.get("bad_texts")))(m) for m in ("quality_score", "reward_quality_score", "dfn_clipscore")},

@@ -69,7 +69,7 @@ def _(spark, d):
 
 
 _ODD = """CASE doc_id % 12 WHEN 0 THEN 'IMG_' || caption WHEN 1 THEN 'photo_123' WHEN 2 THEN 'https://a.b/c' WHEN 3 THEN 'rs=w:10,h:20' WHEN 4 THEN 'table 7' WHEN 5 THEN 'Image 0012.JPG'
-  WHEN 6 THEN 'e4yf 4a68' WHEN 7 THEN 'menu' WHEN 8 THEN 'DSC_0001 sunset.jpeg' WHEN 9 THEN 'x ii iv 12' ELSE substr(caption, 1, 40) END"""
+  WHEN 6 THEN 'e4yf 4a68' WHEN 7 THEN 'menu' WHEN 8 THEN 'DSC_0001 sunset.jpeg' WHEN 9 THEN 'x ii iv 12' ELSE caption END"""
 
 
 def _odd() -> F.Column:
@@ -78,7 +78,7 @@ def _odd() -> F.Column:
     out = F.when(k == 0, F.concat(F.lit("IMG_"), F.col("caption")))
     for i, v in table.items():
         out = out.when(k == i, v)
-    return out.otherwise(F.substring("caption", 1, 40))
+    return out.otherwise(F.col("caption"))
 
 
 def _sql_list(items) -> str:
@@ -166,18 +166,10 @@ def _(spark, d):
     return filters.by_text_fraction(captions(spark, d), "score_text", 0.4).select("uid")
 
 
-@query("p25_text_entity", f"""WITH {CAPTIONS}, w AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '')) AS word FROM benchmark WHERE item_id % 2 = 0),
+@query("p25_text_entity", f"""WITH {CAPTIONS}, w AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '')) AS word FROM benchmark),
   e AS (SELECT word FROM w WHERE length(word) > 6)
   SELECT uid FROM captions WHERE lang = 'en' AND len(list_filter(regexp_split_to_array(lower(caption), '\\s+'), lambda t: t IN (SELECT word FROM e))) > 0""".replace("\\\\", "\\").replace("len(list_filter(regexp_split_to_array(lower(caption), '\\s+'), lambda t: t IN (SELECT word FROM e))) > 0", "list_has_any(regexp_split_to_array(lower(caption), '\\s+'), (SELECT list(word) FROM e))"))
 def _(spark, d):
-    word = F.explode(F.array_distinct(text.words(F.lower("text")))).alias("word")
-    lexicon = read(spark, d, "benchmark").where("item_id % 2 = 0").select(word).distinct().select("word", F.length("word").alias("entity"))
-    return filters.mentions_entity(captions(spark, d), lexicon, lexicon.where("entity > 6").select("entity")).select("uid")
-
-
-@query("p25_text_entity_whole")
-def _(spark, d):
-    """The same filter with a lexicon of every benchmark text."""
     word = F.explode(F.array_distinct(text.words(F.lower("text")))).alias("word")
     lexicon = read(spark, d, "benchmark").select(word).distinct().select("word", F.length("word").alias("entity"))
     return filters.mentions_entity(captions(spark, d), lexicon, lexicon.where("entity > 6").select("entity")).select("uid")
@@ -418,17 +410,17 @@ def _(spark, d):
     return out.select(F.round("micro", 6).alias("micro"), F.round("macro", 6).alias("macro"))
 
 
-@query("e06_pope_f1", f"""WITH {ANSWERS}, b AS (SELECT source, yes_gold = 'yes' AS g, lower(trim(trim(yes_answer, ','), '.')) = 'yes' AS p FROM answers), c AS (SELECT source, CAST(count_if(g AND p) AS BIGINT) AS tp, CAST(count_if(NOT g AND p) AS BIGINT) AS fp, CAST(count_if(g AND NOT p) AS BIGINT) AS fn FROM b GROUP BY source)
+@query("e06_pope_f1", f"""WITH {ANSWERS}, b AS (SELECT answer_type, yes_gold = 'yes' AS g, lower(trim(trim(yes_answer, ','), '.')) = 'yes' AS p FROM answers), c AS (SELECT answer_type, CAST(count_if(g AND p) AS BIGINT) AS tp, CAST(count_if(NOT g AND p) AS BIGINT) AS fp, CAST(count_if(g AND NOT p) AS BIGINT) AS fn FROM b GROUP BY answer_type)
   SELECT *, round(coalesce(tp * 2.0 / nullif(tp * 2 + fp + fn, 0), 0), 6) AS f1 FROM c""")
 def _(spark, d):
-    out = scorers.f1(answers(spark, d), F.col("yes_gold") == "yes", text.yes_no(F.col("yes_answer")) == "yes", ["source"])
-    return out.select("source", *(F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn")), F.round("f1", 6).alias("f1"))
+    out = scorers.f1(answers(spark, d), F.col("yes_gold") == "yes", text.yes_no(F.col("yes_answer")) == "yes", ["answer_type"])
+    return out.select("answer_type", *(F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn")), F.round("f1", 6).alias("f1"))
 
 
-@query("a11_roc_auc", f"WITH {ANSWERS}, x AS (SELECT source, p[1] AS s, yes_gold = 'yes' AS g FROM answers), q AS (SELECT a.source, avg(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END) AS auc FROM x a JOIN x b ON a.source = b.source AND a.g AND NOT b.g GROUP BY a.source) SELECT source, round(auc, 6) AS auc FROM q")
+@query("a11_roc_auc", f"WITH {ANSWERS}, x AS (SELECT answer_type, p[1] AS s, yes_gold = 'yes' AS g FROM answers), q AS (SELECT a.answer_type, avg(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END) AS auc FROM x a JOIN x b ON a.answer_type = b.answer_type AND a.g AND NOT b.g GROUP BY a.answer_type) SELECT answer_type, round(auc, 6) AS auc FROM q")
 def _(spark, d):
-    out = scorers.roc_auc(answers(spark, d), F.col("yes_gold") == "yes", F.element_at("p", 1), ["source"])
-    return out.where("auc is not null").select("source", F.round("auc", 6).alias("auc"))
+    out = scorers.roc_auc(answers(spark, d), F.col("yes_gold") == "yes", F.element_at("p", 1), ["answer_type"])
+    return out.where("auc is not null").select("answer_type", F.round("auc", 6).alias("auc"))
 
 
 @query("a12_roc_auc_ovo", f"""WITH {ANSWERS}, c AS (SELECT unnest([0, 1, 2, 3]) AS a), pr AS (SELECT x.a AS a, y.a AS b FROM c x, c y WHERE x.a <> y.a),
@@ -438,10 +430,10 @@ def _(spark, d):
     return scorers.roc_auc_ovo(answers(spark, d), "cls", "p", 4).select(F.round("auc", 6).alias("auc"))
 
 
-@query("a13_average_precision", f"""WITH {ANSWERS}, s AS (SELECT source, p[1] AS s, count_if(yes_gold = 'yes') AS k, count(*) AS n FROM answers GROUP BY source, p[1]), u AS (SELECT *, sum(k) OVER w AS tp, sum(n) OVER w AS al FROM s WINDOW w AS (PARTITION BY source ORDER BY s DESC))
-  SELECT source, round(coalesce(sum(k * tp / al) / nullif(sum(k), 0), 0), 6) AS ap FROM u GROUP BY source""")
+@query("a13_average_precision", f"""WITH {ANSWERS}, s AS (SELECT answer_type, p[1] AS s, count_if(yes_gold = 'yes') AS k, count(*) AS n FROM answers GROUP BY answer_type, p[1]), u AS (SELECT *, sum(k) OVER w AS tp, sum(n) OVER w AS al FROM s WINDOW w AS (PARTITION BY answer_type ORDER BY s DESC))
+  SELECT answer_type, round(coalesce(sum(k * tp / al) / nullif(sum(k), 0), 0), 6) AS ap FROM u GROUP BY answer_type""")
 def _(spark, d):
-    return scorers.average_precision(answers(spark, d), F.col("yes_gold") == "yes", F.element_at("p", 1), ["source"]).select("source", F.round("ap", 6).alias("ap"))
+    return scorers.average_precision(answers(spark, d), F.col("yes_gold") == "yes", F.element_at("p", 1), ["answer_type"]).select("answer_type", F.round("ap", 6).alias("ap"))
 
 
 @query("a06_chi_square", f"""WITH {ANSWERS}, k AS (SELECT grp, gold, answer FROM answers WHERE grp IS NOT NULL), g AS (SELECT grp, gold AS a, count(*) AS e FROM k GROUP BY 1, 2), p AS (SELECT grp, answer AS a, count(*) AS o FROM k GROUP BY 1, 2),
@@ -502,12 +494,11 @@ def _(spark, d):
     return read(spark, d, "benchmark").select("item_id", ans.plain_words(ans.plain_punctuation(F.col("text"))).alias("normal"))
 
 
-@query("x09_anls", r"""WITH t AS (SELECT item_id, lower(trim(substr(t, 1, 40))) AS a, lower(trim(substr(t, 1 + item_id % 8, 40))) AS b FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM benchmark)), s AS (SELECT item_id, 1 - levenshtein(a, b) / greatest(length(a), length(b)) AS s FROM t)
+@query("x09_anls", r"""WITH t AS (SELECT item_id, lower(trim(t)) AS a, lower(trim(substr(t, 1 + item_id % 8))) AS b FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM benchmark)), s AS (SELECT item_id, 1 - levenshtein(a, b) / greatest(length(a), length(b)) AS s FROM t)
   SELECT item_id, round(CASE WHEN s >= 0.5 THEN s ELSE 0 END, 6) AS anls FROM s""")
 def _(spark, d):
     plain = F.regexp_replace("text", "[^ -~]", "")  # DuckDB counts edits in bytes
-    a, b = F.substring(plain, 1, 40), F.substr(plain, (1 + F.col("item_id") % 8).cast("int"), F.lit(40))
-    return read(spark, d, "benchmark").select("item_id", F.round(ans.anls(a, F.array(b)), 6).alias("anls"))
+    return read(spark, d, "benchmark").select("item_id", F.round(ans.anls(plain, F.array(F.substr(plain, (1 + F.col("item_id") % 8).cast("int")))), 6).alias("anls"))
 
 
 @query("x09_anls_whole")
@@ -525,10 +516,10 @@ def _(spark, d):
     return rows.select("doc_id", ans.parse_choice("r", "o", F.col("doc_id").cast("string")).alias("letter"), ans.open_correct("r", "g").alias("open_correct"))
 
 
-@query("e20_cider", r"""WITH p AS (SELECT doc_id AS image, list_filter(regexp_split_to_array(substr(text, 1, 200), '\s+'), lambda t: t <> '') AS w FROM documents WHERE doc_id % 5 = 0),
-  r AS (SELECT d.doc_id AS image, k AS ref, list_filter(regexp_split_to_array(substr(text, 1 + 20 * k, 200), '\s+'), lambda t: t <> '') AS w FROM documents d, range(2) t(k) WHERE d.doc_id % 5 = 0),
-  hg AS (SELECT image, k, array_to_string(w[i:i + k - 1], ' ') AS gram, count(*) AS n FROM p, range(1, 5) a(k), range(1, 201) b(i) WHERE i + k - 1 <= len(w) GROUP BY 1, 2, 3),
-  rg AS (SELECT image, ref, k, array_to_string(w[i:i + k - 1], ' ') AS gram, count(*) AS n FROM r, range(1, 5) a(k), range(1, 201) b(i) WHERE i + k - 1 <= len(w) GROUP BY 1, 2, 3, 4),
+@query("e20_cider", r"""WITH p AS (SELECT doc_id AS image, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda t: t <> '') AS w FROM documents),
+  r AS (SELECT d.doc_id AS image, k AS ref, list_filter(regexp_split_to_array(substr(coalesce(text, ''), 1 + 20 * k), '\s+'), lambda t: t <> '') AS w FROM documents d, range(2) t(k)),
+  hg AS (SELECT image, k, array_to_string(w[i:i + k - 1], ' ') AS gram, count(*) AS n FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 5) a(k)) GROUP BY 1, 2, 3),
+  rg AS (SELECT image, ref, k, array_to_string(w[i:i + k - 1], ' ') AS gram, count(*) AS n FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM r, range(1, 5) a(k)) GROUP BY 1, 2, 3, 4),
   df AS (SELECT k, gram, count(DISTINCT image) AS df FROM rg GROUP BY 1, 2), ln AS (SELECT ln(count(DISTINCT image)) AS l FROM r),
   h AS (SELECT image, hg.k, hg.gram, n, n * (l - ln(greatest(coalesce(df, 0), 1))) AS w FROM hg LEFT JOIN df USING (k, gram), ln), q AS (SELECT image, ref, rg.k, rg.gram, n, n * (l - ln(greatest(coalesce(df, 0), 1))) AS w FROM rg LEFT JOIN df USING (k, gram), ln),
   hn AS (SELECT image, k, sqrt(sum(w * w)) AS nn FROM h GROUP BY 1, 2), qn AS (SELECT image, ref, k, sqrt(sum(w * w)) AS nn FROM q GROUP BY 1, 2, 3),
@@ -537,15 +528,7 @@ def _(spark, d):
   c AS (SELECT DISTINCT image, ref FROM r), s AS (SELECT c.image, c.ref, sum(d / CASE WHEN hn.nn * qn.nn = 0 THEN 1 ELSE hn.nn * qn.nn END) AS v FROM c JOIN dt USING (image, ref) JOIN hn ON hn.image = c.image AND hn.k = dt.k JOIN qn ON qn.image = c.image AND qn.ref = c.ref AND qn.k = dt.k GROUP BY 1, 2)
   SELECT c.image, round(sum(coalesce(v, 0) * exp(-power(coalesce(hl.len, 0) - coalesce(ql.len, 0), 2) / 72.0) / 4) / count(*) * 10, 5) AS cider FROM c LEFT JOIN s USING (image, ref) LEFT JOIN hl ON hl.image = c.image LEFT JOIN ql ON ql.image = c.image AND ql.ref = c.ref GROUP BY c.image""")
 def _(spark, d):
-    docs = read(spark, d, "documents").where("doc_id % 5 = 0")
-    pred = docs.select(F.col("doc_id").alias("image"), F.substring("text", 1, 200).alias("text"))
-    refs = docs.select(F.col("doc_id").alias("image"), F.explode(F.array(F.lit(0), F.lit(1))).alias("ref"), "text").withColumn("text", F.substr(F.col("text"), 1 + 20 * F.col("ref"), F.lit(200)))
-    return scorers.cider(pred, refs).select("image", F.round("cider", 5).alias("cider"))
-
-
-@query("e20_cider_whole")
-def _(spark, d):
-    """CIDEr of every document's whole text against itself and itself without its first 20 characters; no SQL, as it is too much for one machine."""
+    """CIDEr of every document's whole text against itself and itself without its first 20 characters."""
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("image"), F.coalesce("text", F.lit("")).alias("text"))
     refs = docs.select("image", F.explode(F.array(F.lit(0), F.lit(1))).alias("ref"), "text").withColumn("text", F.substr(F.col("text"), 1 + 20 * F.col("ref")))
     return scorers.cider(docs, refs).select("image", F.round("cider", 5).alias("cider"))

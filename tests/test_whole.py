@@ -49,7 +49,7 @@ def brute_cider(rows):
 
 
 def test_cider_of_whole_corpus(spark, folder, rows):
-    got = {r.image: r.cider for r in plans.queries()["e20_cider_whole"](spark, folder).collect()}
+    got = {r.image: r.cider for r in plans.queries()["e20_cider"](spark, folder).collect()}
     want = brute_cider(rows)
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=2e-5) for i in want)
 
@@ -86,4 +86,4 @@ def test_captions_and_lexicon_are_whole(spark, folder, rows, tmp_path):
     spark.createDataFrame([(1, "longishword")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     got = {r.uid: r.no_bad_pattern for r in plans.queries()["p10_p11_bad_patterns_whole"](spark, d).collect()}
     assert got == {uid(1): True, uid(2): False, uid(3): True}
-    assert [r.uid for r in plans.queries()["p25_text_entity_whole"](spark, d).collect()] == [uid(3)]
+    assert [r.uid for r in plans.queries()["p25_text_entity"](spark, d).collect()] == [uid(3)]
