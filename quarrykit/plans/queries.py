@@ -513,7 +513,7 @@ def _(spark, d):
     k = F.col("doc_id")
     response = F.when(k % 4 == 0, "The answer is (B).").when(k % 4 == 1, "C").when(k % 4 == 2, F.concat(F.lit("so it is "), (k % 9).cast("string"))).otherwise(F.col("text"))
     rows = read(spark, d, "documents").select("doc_id", response.alias("r"), F.array(*map(F.lit, ("red", "green", "blue", "grey"))).alias("o"), F.array((k % 5).cast("string")).alias("g"))
-    return rows.select("doc_id", ans.parse_choice("r", "o", F.col("doc_id").cast("string")).alias("letter"), ans.open_correct("r", "g").alias("open_correct"))
+    return rows.select("doc_id", ans.parse_choice(F.col("r"), F.col("o"), F.col("doc_id").cast("string")).alias("letter"), ans.open_correct(F.col("r"), F.col("g")).alias("open_correct"))
 
 
 @query("e20_cider", r"""WITH p AS (SELECT doc_id AS image, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda t: t <> '') AS w FROM documents),

@@ -2,6 +2,7 @@
 
 import io
 import random
+import re
 import tarfile
 
 import numpy as np
@@ -57,14 +58,23 @@ def test_equal_buckets():
         batching.equal_buckets([1, 2, 3], 2)
 
 
-def test_choice_and_open():
-    letters, contents = list("ABC"), {"A": "red", "B": "green", "C": "blue"}
-    assert answers.choice("(A) or rather (C)", letters, contents) == "C"
-    assert answers.choice("B", letters, contents) == "B"
-    assert answers.choice("I think that it must be green here", letters, contents) == "B"
-    assert answers.choice("no idea", letters, contents) is None
-    assert answers.open_match(["3.14"], answers.open_answers("so the result is 3.14"))
-    assert not answers.open_match(["7"], answers.open_answers("so the result is 3.14"))
+def test_choice_and_open(spark):
+    options = F.array(*map(F.lit, ("red", "green", "blue")))
+    values = ["(A) or rather (C)", "B", "I think that it must be green here", "no idea", "C. or A.", "rather A than B now", "it is red or maybe Green for me", ""]
+    assert column(spark, lambda c: answers.choice(c, options), values) == ["C", "B", "B", None, "A", "B", "B", None]
+    assert column(spark, lambda c: answers.choice(c, options, spaced=True), ["B", "xA y"]) == ["B", None]
+    match = lambda gold: lambda c: answers.open_match(F.array(F.lit(gold)), answers.open_answers(c))
+    assert column(spark, match("3.14"), ["so the result is 3.14", "it is 3", "= 3.14", "x is\ny = 3.14"]) == [True, False, True, True]
+    assert column(spark, match("7"), ["so the result is 3.14", "thus 7 cats", "7"]) == [False, True, True]
+    assert column(spark, match("a"), ["the answer is a cat", "cat", "so a"]) == [True, False, True]
+
+
+def test_numbers_and_forms(spark):
+    values = ["1,234 and 5e3 or -2.5, .5", "", "12,345.6 - 7 x8 1e-4.", "-1,000,000 0.10"]
+    assert column(spark, answers.numbers_in, values) == [[n for p in answers.NUMBERS for n in re.findall(p, v)] for v in values]
+    forms = column(spark, answers.normal_forms, ["1,234.567", " A", "Cat", "1_0", "3d", "nan"])
+    assert [[(f.s, f.n) for f in x] for x in forms[:5]] == [[(None, 1234.57)], [(" a", None), ("a ", None)], [("cat", None)], [(None, 10.0)], [("3d", None)]]
+    assert column(spark, answers.key_answers, ["So it is final\nx = 4.", "plain text", "a\nthe answer is: red"]) == [["final", "4"], ["plain text"], ["is: red"]]
 
 
 def test_boxes(spark):
