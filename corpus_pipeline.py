@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; its
 result is written as Parquet and read again as the next one's docs.  All but the last
 return the columns of documents.
+
+Defined cases, for every stage: a null, empty or blank text fails the quality rules, and is kept by a stage that is given
+it by itself as that operator's docstring says; null ids, languages and sources are values of their own; very long texts are worked on
+whole; ties go to the smaller doc_id or line; a repeated row is judged like its copy (line dedup and near-dedup keep rows of one id together);
+an empty table gives an empty table; further columns go along to the last stage, whatever their names.
 """
 
 from __future__ import annotations
