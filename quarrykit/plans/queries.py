@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrykit.functions import answers as ans
 from quarrykit.functions import boxes, scores, text
-from quarrykit.operators import batching, filters, packing, prompts, reshard, scorers, vectors
+from quarrykit.operators import batching, filters, packing, prompts, reshard, scorers, tasks, vectors
 from quarrykit.plans.fixtures import ANSWERS, CAPTIONS, INTEGER, SCORE, SUBSET, answers, captions, read, subset
 from quarrykit.streaming import workers
 
@@ -542,6 +543,79 @@ def _(spark, d):
     return scorers.bleu4_counts(pred, refs)
 
 
+# ----------------------------------------------------------------- questions and references
+
+
+def _index(spark, d, **conditions):
+    rows = answers(spark, d)
+    questions = rows.select("question_id", (F.col("question_id") % 97).alias("image_id"), F.concat(F.lit("q "), F.col("question_id").cast("string")).alias("question"))
+    return tasks.question_index(questions, rows.select("question_id", F.col("golds").alias("answers"), "question_type", "answer_type"), **conditions)
+
+
+_INDEX = f"WITH {ANSWERS}, ix AS (SELECT *, question_id % 97 AS image_id, 'q ' || question_id AS question FROM answers)"
+
+
+@query("j09_p35_question_index", f"{_INDEX} SELECT question_id, image_id, question, question_type, answer_type FROM ix WHERE image_id IN (1, 5, 8, 90) AND question_type IN ('q0', 'q3') AND answer_type IN ('t0', 't2')")
+def _(spark, d):
+    return _index(spark, d, image_ids=[1, 5, 8, 90], question_types=["q0", "q3"], answer_types=["t0", "t2"]).select("question_id", "image_id", "question", "question_type", "answer_type")
+
+
+@query("e02_e03_vqa_scores", f"""{_INDEX}, m AS (SELECT *, CASE WHEN question_id % 11 = 0 THEN -1 ELSE len(list_filter(golds, lambda g: g = answer)) END AS m FROM ix),
+  s AS (SELECT *, CASE WHEN m < 0 THEN 0 ELSE m * least(m - 1, 3) + (10 - m) * least(m, 3) END AS points FROM m),
+  k AS (SELECT 'overall' AS kind, 'all' AS name, points FROM s UNION ALL SELECT 'question_type', question_type, points FROM s UNION ALL SELECT 'answer_type', answer_type, points FROM s)
+  SELECT kind, name, count(*) AS n, CAST(sum(points) AS BIGINT) AS points, round(sum(points) * 100.0 / (count(*) * 30), 2) AS accuracy FROM k GROUP BY kind, name""")
+def _(spark, d):
+    # Predictions in another dress, which the normalisation takes off; every eleventh question has none.
+    said = answers(spark, d).where("question_id % 11 <> 0").select("question_id", F.concat(F.lit("The "), F.upper("answer"), F.lit("!")).alias("answer"))
+    index = _index(spark, d).withColumn("answers", F.transform("answers", lambda a: F.concat(F.lit("an "), a)))
+    return tasks.vqa_scores(said, index, plain_golds=True)
+
+
+@query("j11_split_label", "SELECT doc_id, CASE WHEN doc_id IN (SELECT item_id * 3 FROM benchmark) THEN 'test' ELSE 'train' END AS split FROM documents")
+def _(spark, d):
+    test = read(spark, d, "benchmark").select((F.col("item_id") * 3).alias("doc_id"))
+    return tasks.with_split(read(spark, d, "documents").select("doc_id"), "doc_id", test)
+
+
+@query("j12_w06_demonstrations", "WITH f AS (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) SELECT source, count(*) AS n, md5(string_agg(text, chr(10) || chr(10) ORDER BY r)) AS prompt_md5 FROM f WHERE r <= 5 GROUP BY source")
+def _(spark, d):
+    return tasks.demonstrations(read(spark, d, "documents"), "source", "doc_id", "text").select("source", "n", F.md5("prompt").alias("prompt_md5"))
+
+
+_REFS = "refs AS (SELECT doc_id AS ref_id, doc_id * 2 AS ann_id, doc_id % 41 AS image_id, doc_id % 7 AS category_id, ['train', 'val', 'testA', 'testB', 'testAB', 'testC'][doc_id % 6 + 1] AS split, ['left ' || doc_id, 'right ' || doc_id, 'big one'][1 : doc_id % 4] AS sentences FROM documents)"
+
+
+def _refs(spark, d):
+    k = F.col("doc_id")
+    split = F.element_at(F.array(*map(F.lit, ("train", "val", "testA", "testB", "testAB", "testC"))), (k % 6 + 1).cast("int"))
+    sentences = F.slice(F.array(F.concat(F.lit("left "), k.cast("string")), F.concat(F.lit("right "), k.cast("string")), F.lit("big one")), F.lit(1), (k % 4).cast("int"))
+    return read(spark, d, "documents").select(k.alias("ref_id"), (k * 2).alias("ann_id"), (k % 41).alias("image_id"), (k % 7).alias("category_id"), split.alias("split"), sentences.alias("sentences"))
+
+
+@query("p34_reference_filter", f"WITH {_REFS} SELECT 'test' AS asked, ref_id FROM refs WHERE split LIKE '%test%' AND category_id IN (1, 2) UNION ALL SELECT 'testA', ref_id FROM refs WHERE split LIKE '%A%' UNION ALL SELECT 'testAB', ref_id FROM refs WHERE split = 'testAB' AND image_id IN (3, 4, 5) UNION ALL SELECT 'val', ref_id FROM refs WHERE split = 'val'")
+def _(spark, d):
+    refs = _refs(spark, d)
+    asked = [("test", {"category_ids": [1, 2]}), ("testA", {}), ("testAB", {"image_ids": [3, 4, 5]}), ("val", {})]
+    parts = [tasks.reference_filter(refs, split=name, **more).select(F.lit(name).alias("asked"), "ref_id") for name, more in asked]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("j13_expressions", f"WITH {_REFS} SELECT ref_id, CAST(i - 1 AS INTEGER) AS sent, sentences[i] AS sentence, (ref_id * 2 % 100) / 4.0 AS x FROM refs, unnest(range(1, len(sentences) + 1)) u(i) WHERE ref_id % 5 <> 0")
+def _(spark, d):
+    boxes = _refs(spark, d).where("ref_id % 5 <> 0").select("ann_id", F.array((F.col("ann_id") % 100) / 4.0, F.lit(1.0)).alias("bbox"))
+    return tasks.expressions(_refs(spark, d), boxes).select("ref_id", "sent", "sentence", F.element_at("bbox", 1).alias("x"))
+
+
+@query("e10_e11_box_scores", "WITH b AS (SELECT ['refcoco', 'refcoco+', 'refcocog'][doc_id % 3 + 1] AS name, doc_id % 7 <> 0 AND doc_id * 13 % 100 >= 50 AS hit FROM documents), k AS (SELECT * FROM b UNION ALL SELECT 'All', hit FROM b) SELECT name, count(*) AS n, CAST(count_if(hit) AS BIGINT) AS n_correct, round(count_if(hit) / count(*), 6) AS accuracy FROM k GROUP BY name")
+def _(spark, d):
+    k = F.col("doc_id")
+    # One box of width 1 and one of a hundredth more or less of it: their overlap is the width.
+    width = (k * 13 % 100) / 100.0
+    overlap = boxes.iou(F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0)), F.array(F.lit(0.0), F.lit(0.0), width, F.lit(1.0)))
+    rows = read(spark, d, "documents").select(F.element_at(F.array(*map(F.lit, ("refcoco", "refcoco+", "refcocog"))), (k % 3 + 1).cast("int")).alias("set"), F.when(k % 7 != 0, overlap).alias("iou"))
+    return tasks.box_scores(rows, F.col("iou"), "set", 0.5).select("name", "n", F.col("n_correct").cast("long").alias("n_correct"), F.round("accuracy", 6).alias("accuracy"))
+
+
 # ----------------------------------------------------------------- streams and windows
 
 
