@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,32 +74,31 @@ def modality_length(kind: str, words: Column, image_marks: Column, patches: int
     return F.lit(patches) + words - image_marks if kind == "align" else words
 
 
+# The task prompts by kind, with {question} and {extra} where these stand, and the parts of a few-shot prompt.
+TASK_PROMPTS = {
+    "vqa": "\n{question}\nAnswer the question using a single word or phrase.",
+    "vqa_uncertain": "\n{question}\nWhen the provided information is insufficient, respond with 'Unanswerable'.\nAnswer the question using a single word or phrase.",
+    "true_false": '\nBased on the image, is this statement "True" or "False"? {question}\nRespond with "True" or "False" directly.',
+    "contrast": '\nDoes the following caption match the image? Caption: "{question}"\nRespond with "True" or "False" directly.',
+    "multiple_choice": "\n{question}\n{extra}\nAnswer with the option's letter from the given choices directly.",
+    "bbox": '\nPlease provide the bounding box coordinate of the region this sentence describes: "{question}"',
+    "caption": "\nProvide a short image description.",
+}
+FEW_SHOT_QUESTION, FEW_SHOT_ANSWER, FEW_SHOT_END = "<image>\nQuestion: ", "\nAnswer:", "<|endofchunk|>"
+
+
 def question_prompt(kind: str, question: Column, extra: Column | None = None) -> Column:
-    """Task prompts: vqa, vqa_uncertain, true_false, contrast, multiple_choice (extra: lettered options), bbox, caption."""
-    line = F.concat(F.lit("\n"), question)
-    short = F.lit("\nAnswer the question using a single word or phrase.")
-    true_false = F.lit('\nRespond with "True" or "False" directly.')
-    if kind == "vqa":
-        return F.concat(line, short)
-    if kind == "vqa_uncertain":
-        return F.concat(line, F.lit("\nWhen the provided information is insufficient, respond with 'Unanswerable'."), short)
-    if kind == "true_false":
-        return F.concat(F.lit('\nBased on the image, is this statement "True" or "False"? '), question, true_false)
-    if kind == "contrast":
-        return F.concat(F.lit('\nDoes the following caption match the image? Caption: "'), question, F.lit('"'), true_false)
-    if kind == "multiple_choice":
-        return F.concat(line, F.lit("\n"), extra, F.lit("\nAnswer with the option's letter from the given choices directly."))
-    if kind == "bbox":
-        return F.concat(F.lit('\nPlease provide the bounding box coordinate of the region this sentence describes: "'), question, F.lit('"'))
-    if kind == "caption":
-        return F.lit("\nProvide a short image description.")
-    raise ValueError(kind)
+    """The prompt of a kind in TASK_PROMPTS; extra: the lettered options of multiple_choice."""
+    if kind not in TASK_PROMPTS:
+        raise ValueError(kind)
+    fields = {"{question}": question, "{extra}": extra}
+    return F.concat(*(fields.get(part, F.lit(part)) for part in re.split(r"(\{\w+\})", TASK_PROMPTS[kind]) if part))
 
 
 def few_shot(demos: Column, question: Column) -> Column:
     """Demonstrations (array of question, answer), then the question."""
-    shown = F.array_join(F.transform(demos, lambda d: F.concat(F.lit("<image>\nQuestion: "), d["question"], F.lit("\nAnswer: "), d["answer"], F.lit("<|endofchunk|>"))), "")
-    return F.concat(shown, F.lit("<image>\nQuestion: "), question, F.lit("\nAnswer:"))
+    shown = F.array_join(F.transform(demos, lambda d: F.concat(F.lit(FEW_SHOT_QUESTION), d["question"], F.lit(FEW_SHOT_ANSWER + " "), d["answer"], F.lit(FEW_SHOT_END))), "")
+    return F.concat(shown, F.lit(FEW_SHOT_QUESTION), question, F.lit(FEW_SHOT_ANSWER))
 
 
 def without_ocr(question: Column) -> Column:

@@ -80,8 +80,8 @@ def parquet_of_shard(mapping: DataFrame, shards: DataFrame) -> DataFrame:
 
 
 def with_boxes(samples: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Samples with face_bboxes and `boxes_found`; a sample without a row of boxes stays."""
-    one = boxes.groupBy("uid").agg(F.first("face_bboxes").alias("face_bboxes"))
+    """Samples with face_bboxes and `boxes_found`; a sample without a row of boxes stays, of several rows the smallest is taken."""
+    one = boxes.groupBy("uid").agg(F.min("face_bboxes").alias("face_bboxes"))
     return samples.join(one, "uid", "left").withColumn("boxes_found", F.col("face_bboxes").isNotNull())
 
 
