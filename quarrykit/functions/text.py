@@ -101,29 +101,39 @@ def no_bad_prefix(c: Column) -> Column:
     return ~reduce(lambda a, b: a | b, (low.rlike(f"^(?:{p})") for p in BAD_PREFIXES))
 
 
-def _good_token(t: Column) -> Column:
+def _good_token(x: Column) -> Column:
+    """Whether a token reads like a word; x: (t, letters), the token and its number of plain letters."""
+    t, letters = x["t"], x["letters"]
     numeric = rf"[\p{{N}}{CJK_NUMERALS}]"
     runs = F.size(F.regexp_extract_all(t, F.lit(rf"{numeric}+|[^\p{{N}}{CJK_NUMERALS}]+"), F.lit(0)))
-    letters = F.length(F.regexp_replace(t, "[^a-z]", ""))
     n = F.length(t)
     return (n > 1) & ~t.isin(*ROMAN) & (letters > 1) & ~((letters <= 2) & (n - letters >= 3)) & ~((runs - 1 >= 2) & (n >= 4))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def stripped_caption(c: Column) -> Column:
     """The lower-cased caption without file endings, the first listed start and the first listed end."""
     x = F.lower(c)
     for item in REMOVED:
         x = F.replace(x, F.lit(item), F.lit(""))
-    start = reduce(lambda a, w: F.when(x.startswith(w), F.lit(len(w))).otherwise(a), reversed(START_WORDS), F.lit(0))
-    x = F.substr(x, start + 1)
-    end = reduce(lambda a, w: F.when(x.endswith(w), F.lit(len(w))).otherwise(a), reversed(END_WORDS), F.lit(0))
-    return F.substr(x, F.lit(1), F.length(x) - end)
+    start = "^(?:" + "|".join(rf"\Q{w}\E" for w in START_WORDS) + ")"  # of alternatives the first listed one matches
+    x = F.regexp_replace(x, start, "")
+
+    def without_end(y: Column) -> Column:
+        end = reduce(lambda a, w: F.when(y.endswith(w), F.lit(len(w))).otherwise(a), reversed(END_WORDS), F.lit(0))
+        return F.substr(y, F.lit(1), F.length(y) - end)
+
+    return _let(x, without_end)
 
 
 def no_bad_pattern(c: Column) -> Column:
     """Kept if any token reads like a word."""
     tokens = F.split(stripped_caption(c), r"(?U)[\s\-_.,]")
-    return ~F.lower(c).isin(*BAD_TEXTS) & F.exists(tokens, _good_token)
+    return ~F.lower(c).isin(*BAD_TEXTS) & F.exists(tokens, lambda t: _let(F.struct(t.alias("t"), F.length(F.regexp_replace(t, "[^a-z]", "")).alias("letters")), _good_token))
 
 
 def cut_key(c: Column) -> Column:
